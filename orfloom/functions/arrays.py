@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Logit of an absent modality and floor of probabilities.
 MASKED_LOGIT = -1e4
 FLOOR = 1e-8
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression used inside a lambda runs per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_hot(offset: int | Column, low: int, high: int) -> Column:
     here = F.lit(offset) if isinstance(offset, int) else offset
     return F.transform(F.sequence(F.lit(low), F.lit(high)), lambda x: (x == here).cast("double"))
@@ -24,7 +30,7 @@ def chain_star_adjacency(mask: Column, centre: int) -> Column:
 
         return value
 
-    return F.transform(mask, lambda valid_i, i: F.transform(mask, cell(i, valid_i)))
+    return let(mask, lambda m: F.transform(m, lambda valid_i, i: F.transform(m, cell(i, valid_i))))
 
 
 def encode_array(c: Column) -> Column:
@@ -54,8 +60,13 @@ def total(v: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    exps = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(exps, lambda x: x / total(exps))
+    def shifted(xs: Column) -> Column:
+        return let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top)))
+
+    def scaled(exps: Column) -> Column:
+        return let(total(exps), lambda s: F.transform(exps, lambda x: x / s))
+
+    return let(let(F.transform(v, lambda x: x.cast("double")), shifted), scaled)
 
 
 def masked_softmax(v: Column, mask: Column) -> Column:
@@ -121,18 +132,22 @@ def neighbor_mean(nodes: Column, adjacency: Column, mask: Column, width: int) ->
     """Mean of the linked valid slots' features per slot (degree at least 1); absent slots give zeros."""
     zeros = F.array_repeat(F.lit(0.0), width)
 
-    def row(links: Column, i: Column) -> Column:
-        live = F.zip_with(links, mask, lambda a, m: F.when(m & F.get(mask, i), a).otherwise(F.lit(0.0)))
-        degree = F.greatest(total(live), F.lit(1.0))
-        weighted = F.zip_with(live, nodes, lambda a, x: F.struct(a.alias("a"), x.alias("x")))
-        summed = F.aggregate(
-            F.filter(weighted, lambda p: p["a"] != 0),
-            zeros,
-            lambda acc, p: F.zip_with(acc, p["x"], lambda s, x: s + p["a"] * x),
-        )
-        return F.transform(summed, lambda s: s / degree)
-
-    return F.transform(adjacency, row)
+    def means(xs: Column, m: Column):
+        def row(links: Column, i: Column) -> Column:
+            live = F.zip_with(links, m, lambda a, ok: F.when(ok & F.get(m, i), a).otherwise(F.lit(0.0)))
+            linked = F.filter(F.zip_with(live, xs, lambda a, x: F.struct(a.alias("a"), x.alias("x"))), lambda p: p["a"] != 0)
+            summed = let(
+                linked,
+                lambda ps: F.struct(
+                    F.aggregate(ps, zeros, lambda acc, p: F.zip_with(acc, p["x"], lambda s, x: s + p["a"] * x)).alias("s"),
+                    F.greatest(F.aggregate(ps, F.lit(0.0), lambda acc, p: acc + p["a"]), F.lit(1.0)).alias("d"),
+                ),
+            )
+            return let(summed, lambda z: F.transform(z["s"], lambda s: s / z["d"]))
+
+        return row
+
+    return let(nodes, lambda xs: let(mask, lambda m: F.transform(adjacency, means(xs, m))))
 
 
 def gated_fuse(base: Column, vectors: list[Column], logits: Column, mask: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orfloom.functions.arrays import let
 from orfloom.functions.text import strip
 
 
@@ -23,9 +24,7 @@ def placeholder_residues(c: Column) -> Column:
 
 def pair_tokens(c: Column) -> Column:
     """Two-character tokens; an odd length is an error."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(c) - 1, F.lit(2)), lambda i: F.substr(c, i, F.lit(2))
-    )
+    pairs = F.regexp_extract_all(c, F.lit(r"(?s)(..)"), F.lit(1))
     empty = F.array().cast("array<string>")
     odd = F.raise_error(F.concat(F.lit("odd token text length: "), F.length(c).cast("string"))).cast("array<string>")
     return F.when(F.length(c) % 2 == 1, odd).when(F.length(c) == 0, empty).otherwise(pairs)
@@ -61,11 +60,34 @@ def windows(length: Column, size: int, overlap: int) -> Column:
 def coverage_weights(wins: Column) -> Column:
     """Residues each window covers first; the weights of a sequence add up to its length."""
 
-    def weight(w: Column, i: Column) -> Column:
-        covered = F.when(i == 0, F.lit(0)).otherwise(F.get(wins, i - 1)["end"])
-        return F.greatest(w["end"] - F.greatest(w["start"], covered), F.lit(1)).cast("int")
+    def weight(ws: Column):
+        def of(w: Column, i: Column) -> Column:
+            covered = F.when(i == 0, F.lit(0)).otherwise(F.get(ws, i - 1)["end"])
+            return F.greatest(w["end"] - F.greatest(w["start"], covered), F.lit(1)).cast("int")
+
+        return of
+
+    return let(wins, lambda ws: F.transform(ws, weight(ws)))
+
+
+def windowed_text(seq: Column, length: Column, size: int, overlap: int) -> Column:
+    """array<struct<weight,text>> of a sequence cut to ``length``.
 
-    return F.transform(wins, weight)
+    Windows are cut from the fixed-width encoding, so a cut costs the same anywhere in a long sequence.
+    """
+
+    def cut(wide: Column, ws: Column):
+        def piece(w: Column, i: Column) -> Column:
+            covered = F.when(i == 0, F.lit(0)).otherwise(F.get(ws, i - 1)["end"])
+            text = F.decode(F.substr(wide, w["start"] * 4 + 1, (w["end"] - w["start"]) * 4), "UTF-32")
+            new = F.greatest(w["end"] - F.greatest(w["start"], covered), F.lit(1)).cast("int")
+            return F.struct(new.alias("weight"), text.alias("text"))
+
+        return piece
+
+    return let(
+        F.encode(seq, "UTF-32"), lambda wide: let(windows(length, size, overlap), lambda ws: F.transform(ws, cut(wide, ws)))
+    )
 
 
 def window_text(seq: Column, win: Column) -> Column:

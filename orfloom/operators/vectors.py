@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orfloom.functions import (
-    coverage_weights, effective_len, is_truncated, sanitize_seq, vector_ok, window_text, windows,
+    effective_len, is_truncated, sanitize_seq, vector_ok, windowed_text,
 )
 from orfloom.operators.ordering import ordered_prefix
 from orfloom.operators.quality import require_covered
@@ -105,15 +105,8 @@ def encode_windows(
     Windows have one size, so the work of a task follows the residues it holds, not its longest sequence.
     """
     length = effective_len(F.length("sequence"), size, strategy)
-    wins = windows(length, size, overlap)
-    rows = df.select(
-        "id",
-        F.length("sequence").alias("length"),
-        "sequence",
-        F.posexplode(F.arrays_zip(wins.alias("w"), coverage_weights(wins).alias("c"))).alias("window", "z"),
-    ).select(
-        "id", "length", "window", F.col("z.c").alias("weight"), window_text(F.col("sequence"), F.col("z.w")).alias("text")
-    )
+    pieces = F.posexplode(windowed_text(F.col("sequence"), length, size, overlap)).alias("window", "z")
+    rows = df.select("id", F.length("sequence").alias("length"), pieces).select("id", "length", "window", "z.weight", "z.text")
     schema = f"id {df.schema['id'].dataType.simpleString()}, length int, window int, weight int, vec array<double>"
     return rows.mapInPandas(encoder, schema)
 

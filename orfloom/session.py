@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, app: str = "orfloom", memory: str = "16g"
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus if cpus != "*" else 8))
         .config("spark.sql.adaptive.enabled", "true")

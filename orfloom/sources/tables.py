@@ -145,20 +145,26 @@ def read_optional(spark: SparkSession, path: str | None, schema: T.StructType) -
     return spark.createDataFrame([], schema)
 
 
-def read_runs(spark: SparkSession, root: str, prefix: str = "multimodal_v2") -> DataFrame:
+def read_runs(
+    spark: SparkSession,
+    root: str,
+    prefix: str = "multimodal_v2",
+    summary_tail: str = "summary.json",
+    metrics_tail: str = "evaluation/metrics_val.json",
+) -> DataFrame:
     """One row per completed run below ``root``: its summary and its validation metrics.
 
     Runs lacking either document are left out; absent fields get their defaults.
     """
+
     def documents(tail: str, schema: T.StructType) -> DataFrame:
-        path = F.col("_metadata.file_path")
-        run = F.regexp_extract(path, rf"^(.*/{prefix}[^/]*)/{tail}$", 1)
+        run = F.regexp_extract(F.col("_metadata.file_path"), rf"^(.*/{prefix}[^/]*)/", 1)
         read = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{prefix}*/{tail}")
         return read.select(run.alias("run_dir"), "*")
 
     try:
-        summary = documents("summary.json", schemas.RUN_SUMMARY)
-        metrics = documents("evaluation/metrics_val.json", schemas.RUN_METRICS)
+        summary = documents(summary_tail, schemas.RUN_SUMMARY)
+        metrics = documents(metrics_tail, schemas.RUN_METRICS)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
