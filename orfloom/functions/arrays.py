@@ -128,34 +128,17 @@ def kl_to_parent(child: Column, parent: Column, parent_of: list[int], parents: i
     return total(terms)
 
 
-def neighbor_mean(nodes: Column, adjacency: Column, mask: Column, width: int) -> Column:
-    """Mean of the linked valid slots' features per slot (degree at least 1); absent slots give zeros."""
-    zeros = F.array_repeat(F.lit(0.0), width)
-
-    def means(xs: Column, m: Column):
-        def row(links: Column, i: Column) -> Column:
-            live = F.zip_with(links, m, lambda a, ok: F.when(ok & F.get(m, i), a).otherwise(F.lit(0.0)))
-            linked = F.filter(F.zip_with(live, xs, lambda a, x: F.struct(a.alias("a"), x.alias("x"))), lambda p: p["a"] != 0)
-            summed = let(
-                linked,
-                lambda ps: F.struct(
-                    F.aggregate(ps, zeros, lambda acc, p: F.zip_with(acc, p["x"], lambda s, x: s + p["a"] * x)).alias("s"),
-                    F.greatest(F.aggregate(ps, F.lit(0.0), lambda acc, p: acc + p["a"]), F.lit(1.0)).alias("d"),
-                ),
-            )
-            return let(summed, lambda z: F.transform(z["s"], lambda s: s / z["d"]))
-
-        return row
+def gated_fuse(base: Column, vectors: list[Column], logits: Column, mask: Column) -> Column:
+    """struct<gates, fused>: ``base`` plus each present vector times its softmax gate."""
 
-    return let(nodes, lambda xs: let(mask, lambda m: F.transform(adjacency, means(xs, m))))
+    def add(total_so_far: Column, vector: Column, factor: Column) -> Column:
+        return F.zip_with(total_so_far, vector, lambda b, v: b.cast("double") + factor * v.cast("double"))
 
+    def combine(gates: Column) -> Column:
+        fused = base
+        for i, vector in enumerate(vectors):
+            present = F.get(mask, F.lit(i)).cast("double")
+            fused = add(fused, vector, F.get(gates, F.lit(i)) * present)
+        return F.struct(gates.alias("gates"), fused.alias("fused"))
 
-def gated_fuse(base: Column, vectors: list[Column], logits: Column, mask: Column) -> Column:
-    """struct<gates, fused>: ``base`` plus each present vector times its softmax gate."""
-    gates = masked_softmax(logits, mask)
-    fused = base
-    for i, vector in enumerate(vectors):
-        present = F.get(mask, F.lit(i)).cast("double")
-        gate = F.get(gates, F.lit(i))
-        fused = F.zip_with(fused, vector, lambda b, v, g=gate, m=present: b.cast("double") + g * v.cast("double") * m)
-    return F.struct(gates.alias("gates"), fused.alias("fused"))
+    return let(masked_softmax(logits, mask), combine)

@@ -48,13 +48,18 @@ def window_count(length: Column, size: int, overlap: int) -> Column:
 
 def windows(length: Column, size: int, overlap: int) -> Column:
     """array<struct<start,end>> covering [0, length); the last window is moved left to keep its size."""
-    last = F.greatest(length - F.lit(size), F.lit(0))
+    step = size - overlap
+
+    def spans(n: Column) -> Column:
+        last = F.greatest(n - F.lit(size), F.lit(0))
+
+        def bounds(i: Column) -> Column:
+            start = F.least(i * F.lit(step), last).cast("int")
+            return F.struct(start.alias("start"), F.least(start + F.lit(size), n).cast("int").alias("end"))
 
-    def bounds(i: Column) -> Column:
-        start = F.least(i * F.lit(size - overlap), last).cast("int")
-        return F.struct(start.alias("start"), F.least(start + F.lit(size), length).cast("int").alias("end"))
+        return F.transform(F.sequence(F.lit(0), window_count(n, size, overlap) - 1), bounds)
 
-    return F.transform(F.sequence(F.lit(0), window_count(length, size, overlap) - 1), bounds)
+    return let(length, spans)
 
 
 def coverage_weights(wins: Column) -> Column:

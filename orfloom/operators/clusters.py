@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orfloom.functions.arrays import let
 from orfloom.operators.quality import duplicate_keys
 from orfloom.operators.skew import HOT_ROWS, hot_split_join, lookup_join
 from orfloom.session import cut_lineage
 
 
+PAIRS_PER_TASK = 5_000
+MAX_VERIFY_TASKS = 50_000
+
+
 def exact_dedup(df: DataFrame, key: str, seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(member, rep): the smallest id among rows with equal text.
 
@@ -89,14 +94,14 @@ def kmer_hashes(seq: Column, k: int) -> Column:
 
     Pieces are cut from the fixed-width encoding, where a cut costs the same anywhere in the text.
     """
-    wide = F.encode(seq, "UTF-32")
     last = F.greatest(F.length(seq) - F.lit(k), F.lit(0))
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.xxhash64(F.substr(wide, i * 4 + 1, F.lit(4 * k))),
+
+    def pieces(wide: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(wide, i * 4 + 1, F.lit(4 * k)))
         )
-    )
+
+    return F.array_distinct(let(F.encode(seq, "UTF-32"), pieces))
 
 
 def near_duplicate_edges(
@@ -119,7 +124,9 @@ def near_duplicate_edges(
     texts = reps.select(F.col(key).alias("id"), F.col(seq).alias("text")).where(F.length(seq) > 0)
     hashes = kmer_hashes(F.col("text"), k)
     chosen = hashes if kmers_per_seq is None else F.slice(F.array_sort(hashes), 1, kmers_per_seq)
-    sketch = cut_lineage(texts.select("id", F.length("text").alias("length"), F.explode(chosen).alias("kmer")))
+    # the array is made before it is exploded, so that no copy of the text travels with each k-mer
+    arrays = texts.select("id", F.length("text").alias("length"), chosen.alias("kmers"))
+    sketch = cut_lineage(arrays.select("id", "length", F.explode("kmers").alias("kmer")))
     centres = (
         sketch.groupBy("kmer")
         .agg(F.min(F.struct((-F.col("length")).alias("neg"), "id")).alias("c"), F.count(F.lit(1)).alias("n"))
@@ -133,18 +140,26 @@ def near_duplicate_edges(
         .distinct()
     )
     pairs = cut_lineage(pairs)
-    members = pairs.join(texts, "id")
+    members = pairs.join(texts, "id").repartition(_verify_tasks(pairs), "centre")
     centre_texts = texts.select(F.col("id").alias("centre"), F.col("text").alias("centre_text"))
     both = hot_split_join(members, centre_texts, "centre", "inner", hot_rows=hot_rows)
-    a, b = kmer_hashes(F.col("text"), k), kmer_hashes(F.col("centre_text"), k)
-    counted = both.select(
-        F.col("centre").alias("rep"),
-        F.col("id").alias("member"),
-        (F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).alias("similarity"),
+    similarity = let(
+        kmer_hashes(F.col("text"), k),
+        lambda a: let(
+            kmer_hashes(F.col("centre_text"), k),
+            lambda b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)),
+        ),
     )
+    counted = both.select(F.col("centre").alias("rep"), F.col("id").alias("member"), similarity.alias("similarity"))
     return counted.where(F.col("similarity") >= min_sim)
 
 
+def _verify_tasks(pairs: DataFrame) -> int:
+    """Tasks for comparing texts: the work follows the number of pairs, not the bytes that adaptive sizing sees."""
+    usual = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, min(pairs.count() // PAIRS_PER_TASK, MAX_VERIFY_TASKS))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component): component is the smallest id reachable over the edges.
 

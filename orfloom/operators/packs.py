@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orfloom.functions import feature_vector
 from orfloom.operators.context import CONTEXT_FEATURES
-from orfloom.operators.labels import encode_labels, override_split, where_in_vocab, where_split, where_status
+from orfloom.operators.labels import encode_labels, override_split, where_split, where_status
 from orfloom.operators.ordering import head_per, ordered_prefix
 from orfloom.operators.vectors import attach_embedding, attach_optional
+from orfloom.session import cut_lineage
 
 LEVELS = {"level1_label": "label_l1", "level2_label": "label_l2", "node_primary": "label_l3_core"}
 SPLITS = ("train", "val", "test")
@@ -30,7 +31,6 @@ def core_rows(
 ) -> DataFrame:
     """Rows of one status and the three splits with labels in all vocabularies, labels encoded."""
     rows = where_split(where_status(index, status), SPLITS).dropna(subset=[*required, *LEVELS])
-    rows = where_in_vocab(rows, vocabs)
     for column, out in LEVELS.items():
         rows = encode_labels(rows, vocabs[column], column, out)
     if limits:
@@ -47,7 +47,8 @@ def core_pack(
     limits: dict[str, int | None] | None = None,
 ) -> DataFrame:
     """Single-modality pack; rows without a vector are left out before they are numbered."""
-    attached = attach_embedding(core_rows(index, vocabs, order, limits), embeddings, key, required=False)
+    rows = cut_lineage(core_rows(index, vocabs, order, limits))
+    attached = attach_embedding(rows, embeddings, key, required=False)
     return row_index(attached, ["split"], [order])
 
 
@@ -73,17 +74,20 @@ def multimodal_pack(
     rows = core_rows(index, vocabs, entity, limits)
     if override is not None:
         rows = override_split(rows, override, entity)
+    # ids and labels only: the joins below count their keys on this narrow table, not on the vectors
+    core = rows = cut_lineage(rows)
     vec = _vector_column(sequence, key)
     rows = attach_embedding(
-        rows, sequence.select(key, F.col(vec).alias("sequence_embedding")), key, required=True, what="sequence embedding"
+        rows, sequence.select(key, F.col(vec).alias("sequence_embedding")), key, required=True,
+        what="sequence embedding", hot_from=core,
     )
     if structure is None:
         zeros = F.array_repeat(F.lit(0.0), structure_dim).cast("array<float>")
         rows = rows.withColumns({"structure_embedding": zeros, "__structure": F.lit(False)})
     else:
         named = structure.select(key, F.col(_vector_column(structure, key)).alias("structure_embedding"))
-        rows = attach_optional(rows, named, key, "structure_embedding", structure_dim, "__structure")
-    rows = _with_context(rows, context, graphs, entity)
+        rows = attach_optional(rows, named, key, "structure_embedding", structure_dim, "__structure", hot_from=core)
+    rows = _with_context(rows, core, context, graphs, entity)
     mask = F.array(F.lit(True), F.col("__structure"), F.col("__context"))
     return row_index(rows.withColumn("modality_mask", mask).drop("__structure", "__context"), ["split"], [entity])
 
@@ -92,7 +96,9 @@ def _vector_column(df: DataFrame, key: str) -> str:
     return next(c for c in df.columns if c != key)
 
 
-def _with_context(rows: DataFrame, context: DataFrame | None, graphs: DataFrame | None, entity: str) -> DataFrame:
+def _with_context(
+    rows: DataFrame, core: DataFrame, context: DataFrame | None, graphs: DataFrame | None, entity: str
+) -> DataFrame:
     if graphs is not None:
         kept = graphs.select(entity, "node_features", "adjacency", "node_mask", "center_index")
         joined = rows.join(kept, entity, "left")
@@ -103,4 +109,4 @@ def _with_context(rows: DataFrame, context: DataFrame | None, graphs: DataFrame
             {"context_features": F.array_repeat(F.lit(0.0), len(CONTEXT_FEATURES)), "__context": F.lit(False)}
         )
     named = context.select(entity, feature_vector(list(CONTEXT_FEATURES), context.columns).alias("context_features"))
-    return attach_optional(rows, named, entity, "context_features", len(CONTEXT_FEATURES), "__context")
+    return attach_optional(rows, named, entity, "context_features", len(CONTEXT_FEATURES), "__context", core)

@@ -92,10 +92,14 @@ def hot_split_join(
     how: str = "left",
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join for ordinary keys, broadcast of the lookup rows of the few hot keys."""
+    """Shuffle join for ordinary keys, broadcast of the lookup rows of the few hot keys.
+
+    ``hot_from`` is a table with the same keys that is cheaper to count, such as a checkpointed one.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    hot = checked_small(hot_keys(facts, keys, hot_rows))
+    hot = checked_small(hot_keys(facts if hot_from is None else hot_from, keys, hot_rows))
     if hot is None:
         raise ValueError("hot_rows is too low: the hot keys themselves do not fit a broadcast")
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

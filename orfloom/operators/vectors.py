@@ -33,17 +33,24 @@ def masked_mean_vec(df: DataFrame, key: str | list[str], vec: str, mask: Column,
 
 
 def attach_embedding(
-    df: DataFrame, emb: DataFrame, key: str, required: bool = True, what: str = "embedding"
+    df: DataFrame,
+    emb: DataFrame,
+    key: str,
+    required: bool = True,
+    what: str = "embedding",
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on the key. ``required``: every row must resolve, else an error that says how many did."""
     if required:
         require_covered(df, emb, key, what)
-    return hot_split_join(df, emb, key, "inner")
+    return hot_split_join(df, emb, key, "inner", hot_from=hot_from)
 
 
-def attach_optional(df: DataFrame, emb: DataFrame, key: str, vec: str, dim: int, present: str) -> DataFrame:
+def attach_optional(
+    df: DataFrame, emb: DataFrame, key: str, vec: str, dim: int, present: str, hot_from: DataFrame | None = None
+) -> DataFrame:
     """Left join; a missing vector becomes zeros and ``present`` says whether it was there."""
-    joined = hot_split_join(df, emb.select(key, vec), key, "left")
+    joined = hot_split_join(df, emb.select(key, vec), key, "left", hot_from=hot_from)
     zeros = F.array_repeat(F.lit(0.0), dim).cast(emb.schema[vec].dataType)
     return joined.withColumns({present: F.col(vec).isNotNull(), vec: F.coalesce(F.col(vec), zeros)})
 
@@ -105,8 +112,9 @@ def encode_windows(
     Windows have one size, so the work of a task follows the residues it holds, not its longest sequence.
     """
     length = effective_len(F.length("sequence"), size, strategy)
-    pieces = F.posexplode(windowed_text(F.col("sequence"), length, size, overlap)).alias("window", "z")
-    rows = df.select("id", F.length("sequence").alias("length"), pieces).select("id", "length", "window", "z.weight", "z.text")
+    # the pieces are cut before they are exploded, so that no copy of the sequence travels with each window
+    cut = df.select("id", F.length("sequence").alias("length"), windowed_text(F.col("sequence"), length, size, overlap).alias("ws"))
+    rows = cut.select("id", "length", F.posexplode("ws").alias("window", "z")).select("id", "length", "window", "z.weight", "z.text")
     schema = f"id {df.schema['id'].dataType.simpleString()}, length int, window int, weight int, vec array<double>"
     return rows.mapInPandas(encoder, schema)
 

@@ -1 +1,43 @@
+"""Streaming plans: tables rewritten as several files, read back as a stream until nothing is left."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orfloom.plans.registry import Tables, query
+from orfloom.session import scratch_dir
+from orfloom.streaming.incremental import dedup_stream, read_files, run_available
+
+
+@query("R01_stream_dedup", "SELECT DISTINCT md5(text) AS digest, length(text)::INTEGER AS n FROM documents")
+def _(spark, sf):
+    root = scratch_dir(spark, "stream-docs")
+    docs = Tables(spark, sf).documents.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    docs.repartition(4, "doc_id").write.parquet(f"{root}/in")
+    stream = read_files(spark, f"{root}/in", docs.schema, files_per_batch=2)
+    run_available(dedup_stream(stream.select("digest", "n"), ["digest"]), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("R01_stream_dedup_bounded", "SELECT DISTINCT event_id, user_id FROM events")
+def _(spark, sf):
+    root = scratch_dir(spark, "stream-events")
+    events = Tables(spark, sf).events.select("event_id", "user_id", "ts")
+    # every event arrives twice within the watermark
+    events.unionByName(events).repartition(2, "event_id").write.parquet(f"{root}/in")
+    stream = read_files(spark, f"{root}/in", events.schema)
+    unique = dedup_stream(stream, ["event_id"], "ts", "1 hour").select("event_id", "user_id")
+    run_available(unique, f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("R02_stream_resume", "SELECT event_id, event_type FROM events")
+def _(spark, sf):
+    root = scratch_dir(spark, "stream-resume")
+    events = Tables(spark, sf).events.select("event_id", "event_type")
+    early = F.col("event_type").isin("view", "click")
+    for part in (early, ~early):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = read_files(spark, f"{root}/in", events.schema)
+        run_available(stream, f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
