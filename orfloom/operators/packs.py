@@ -9,7 +9,7 @@ from orfloom.functions import feature_vector
 from orfloom.operators.context import CONTEXT_FEATURES
 from orfloom.operators.labels import encode_labels, override_split, where_split, where_status
 from orfloom.operators.ordering import head_per, ordered_prefix
-from orfloom.operators.vectors import attach_embedding, attach_optional
+from orfloom.operators.vectors import attach_embedding, attach_optional, prefetch
 from orfloom.session import cut_lineage
 
 LEVELS = {"level1_label": "label_l1", "level2_label": "label_l2", "node_primary": "label_l3_core"}
@@ -47,9 +47,9 @@ def core_pack(
     limits: dict[str, int | None] | None = None,
 ) -> DataFrame:
     """Single-modality pack; rows without a vector are left out before they are numbered."""
-    rows = cut_lineage(core_rows(index, vocabs, order, limits))
-    attached = attach_embedding(rows, embeddings, key, required=False)
-    return row_index(attached, ["split"], [order])
+    rows = prefetch(core_rows(index, vocabs, order, limits), embeddings, key)
+    numbered = cut_lineage(row_index(rows, ["split"], [order]))
+    return attach_embedding(numbered, embeddings, key, required=False)
 
 
 def multimodal_pack(
@@ -74,8 +74,8 @@ def multimodal_pack(
     rows = core_rows(index, vocabs, entity, limits)
     if override is not None:
         rows = override_split(rows, override, entity)
-    # ids and labels only: the joins below count their keys on this narrow table, not on the vectors
-    core = rows = cut_lineage(rows)
+    # numbered and written while the rows are ids and labels only; the joins below count keys on this table
+    core = rows = cut_lineage(row_index(rows, ["split"], [entity]))
     vec = _vector_column(sequence, key)
     rows = attach_embedding(
         rows, sequence.select(key, F.col(vec).alias("sequence_embedding")), key, required=True,
@@ -89,7 +89,7 @@ def multimodal_pack(
         rows = attach_optional(rows, named, key, "structure_embedding", structure_dim, "__structure", hot_from=core)
     rows = _with_context(rows, core, context, graphs, entity)
     mask = F.array(F.lit(True), F.col("__structure"), F.col("__context"))
-    return row_index(rows.withColumn("modality_mask", mask).drop("__structure", "__context"), ["split"], [entity])
+    return rows.withColumn("modality_mask", mask).drop("__structure", "__context")
 
 
 def _vector_column(df: DataFrame, key: str) -> str:

@@ -17,6 +17,7 @@ from orfloom.functions import (
 from orfloom.operators.ordering import ordered_prefix
 from orfloom.operators.quality import require_covered
 from orfloom.operators.skew import hot_split_join
+from orfloom.session import cut_lineage
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -147,9 +148,11 @@ def vectorize(
             "id", "length", F.col("vec").alias("embedding")
         )
         pooled = short.unionByName(pool_windows(encode_windows(source.where(~fits), encoder, size, overlap)))
-    good = pooled.where(vector_ok(F.col("embedding")))
+    # vectors are written once: numbering them would otherwise run the encoder again to sample the order
+    good = cut_lineage(pooled.where(vector_ok(F.col("embedding"))))
     length = F.col("length")
-    return assign_shards(good, "length", "id", shard_rows).select(
+    places = assign_shards(good.select("id", "length"), "length", "id", shard_rows).drop("length")
+    return good.join(places, "id").select(
         F.col("id").alias("embedding_id"), "shard_no", "row_index",
         length.alias("orig_seq_len"),
         effective_len(length, size, strategy).alias("effective_seq_len"),

@@ -22,7 +22,7 @@ def _(spark, sf):
 @query("R01_stream_dedup_bounded", "SELECT DISTINCT event_id, user_id FROM events")
 def _(spark, sf):
     root = scratch_dir(spark, "stream-events")
-    events = Tables(spark, sf).events.select("event_id", "user_id", "ts")
+    events = Tables(spark, sf).events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     # every event arrives twice within the watermark
     events.unionByName(events).repartition(2, "event_id").write.parquet(f"{root}/in")
     stream = read_files(spark, f"{root}/in", events.schema)
