@@ -33,6 +33,18 @@ def chain_star_adjacency(mask: Column, centre: int) -> Column:
     return let(mask, lambda m: F.transform(m, lambda valid_i, i: F.transform(m, cell(i, valid_i))))
 
 
+def chain_star_rows(valid: list[Column], centre: int) -> Column:
+    """``chain_star_adjacency`` for a fixed number of slots, written out cell by cell."""
+
+    def cell(i: int, j: int) -> Column:
+        if i == j or not (abs(i - j) == 1 or centre in (i, j)):
+            return F.lit(0.0)
+        return (valid[i] & valid[j]).cast("double")
+
+    slots = range(len(valid))
+    return F.array(*[F.array(*[cell(i, j) for j in slots]) for i in slots])
+
+
 def encode_array(c: Column) -> Column:
     return F.to_json(c)
 
@@ -84,7 +96,7 @@ def modality_mask(*cols: Column) -> Column:
 def topk(v: Column, k: int) -> Column:
     """The k largest entries as array<struct<score,idx>>, equal scores in index order."""
     pairs = F.transform(v, lambda x, i: F.struct((-x.cast("double")).alias("neg"), i.cast("int").alias("idx")))
-    best = F.slice(F.array_sort(pairs), 1, k)
+    best = F.slice(F.sort_array(pairs), 1, k)
     return F.transform(best, lambda p: F.struct((-p["neg"]).alias("score"), p["idx"].alias("idx")))
 
 

@@ -123,10 +123,11 @@ def near_duplicate_edges(
     """
     texts = reps.select(F.col(key).alias("id"), F.col(seq).alias("text")).where(F.length(seq) > 0)
     hashes = kmer_hashes(F.col("text"), k)
-    chosen = hashes if kmers_per_seq is None else F.slice(F.array_sort(hashes), 1, kmers_per_seq)
-    # the array is made before it is exploded, so that no copy of the text travels with each k-mer
+    chosen = hashes if kmers_per_seq is None else F.slice(F.sort_array(hashes), 1, kmers_per_seq)
+    # Made before it is exploded, so that no copy of the text travels with each k-mer. The outer form keeps the
+    # optimizer from adding a filter on the array's size, which would hash every text a second time.
     arrays = texts.select("id", F.length("text").alias("length"), chosen.alias("kmers"))
-    sketch = cut_lineage(arrays.select("id", "length", F.explode("kmers").alias("kmer")))
+    sketch = cut_lineage(arrays.select("id", "length", F.explode_outer("kmers").alias("kmer")))
     centres = (
         sketch.groupBy("kmer")
         .agg(F.min(F.struct((-F.col("length")).alias("neg"), "id")).alias("c"), F.count(F.lit(1)).alias("n"))

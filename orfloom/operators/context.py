@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orfloom.functions import (
-    chain_star_adjacency, is_known, len_norm, one_hot, same_strand, strand_flags,
+    chain_star_rows, is_known, len_norm, same_strand, strand_flags,
 )
 from orfloom.operators.ordering import with_neighbours
 from orfloom.operators.skew import HOT_ROWS
@@ -72,16 +72,11 @@ def context_features(
     )
 
 
-def _node(slot: Column, offset: Column) -> Column:
-    """14 node features of a slot; an absent slot is all zeros."""
-    flags = strand_flags(slot["strand"])
-    features = F.concat(
-        F.array(
-            slot["len"], flags["forward"], flags["reverse"], slot["known"], (offset == 0).cast("double"),
-        ),
-        one_hot(offset, -REACH, REACH),
-    )
-    return F.when(slot.isNotNull(), features).otherwise(F.array_repeat(F.lit(0.0), NODE_WIDTH))
+def _node(slot: Column, valid: Column, offset: int) -> Column:
+    """14 node features of a slot at a fixed offset; an absent slot is all zeros."""
+    spot = [F.lit(float(x == offset)) for x in range(-REACH, REACH + 1)]
+    features = F.array(slot["len"], slot["forward"], slot["reverse"], slot["known"], F.lit(float(offset == 0)), *spot)
+    return F.when(valid, features).otherwise(F.array(*[F.lit(0.0)] * NODE_WIDTH))
 
 
 def context_graph(
@@ -95,21 +90,25 @@ def context_graph(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Local graphs of nine slots, one row per (row, window size); the neighbourhood is computed once."""
-    payload = {"len": len_norm(length), "strand": strand.cast("string"), "known": is_known(annotation).cast("double")}
-    wide = with_neighbours(df, part, order, payload, reach=REACH, slots="__all", hot_rows=hot_rows)
+    flags = strand_flags(strand)
+    payload = {
+        "len": len_norm(length), "forward": flags["forward"], "reverse": flags["reverse"],
+        "known": is_known(annotation).cast("double"),
+    }
+    wide = with_neighbours(df, part, order, payload, reach=REACH, slots="__slots", hot_rows=hot_rows)
     sized = wide.withColumn("window_size", F.explode(F.array(*[F.lit(w) for w in sizes])))
-    slots = F.transform("__all", lambda s, i: F.when(F.abs(i - CENTRE) <= F.col("window_size"), s))
-    cut = sized.withColumn("__slots", slots).withColumn(
-        "node_mask", F.transform("__slots", lambda s: s.isNotNull())
-    )
-    return cut.select(
+    slots = range(2 * REACH + 1)
+    within = [F.get("__slots", F.lit(i)).isNotNull() & (F.col("window_size") >= abs(i - CENTRE)) for i in slots]
+    masked = sized.withColumn("node_mask", F.array(*within))
+    valid = [F.get("node_mask", F.lit(i)) for i in slots]
+    return masked.select(
         *df.columns,
         "window_size",
         F.lit(CENTRE).alias("center_index"),
-        F.size(F.filter("node_mask", lambda m: m)).alias("num_valid_nodes"),
+        sum((v.cast("int") for v in valid[1:]), valid[0].cast("int")).alias("num_valid_nodes"),
         F.lit(GRAPH_VERSION).alias("graph_version"),
-        F.transform("__slots", lambda s, i: _node(s, i - CENTRE)).alias("node_features"),
-        chain_star_adjacency(F.col("node_mask"), CENTRE).alias("adjacency"),
+        F.array(*[_node(F.get("__slots", F.lit(i)), valid[i], i - CENTRE) for i in slots]).alias("node_features"),
+        chain_star_rows(valid, CENTRE).alias("adjacency"),
         "node_mask",
     )
 

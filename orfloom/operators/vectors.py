@@ -113,9 +113,10 @@ def encode_windows(
     Windows have one size, so the work of a task follows the residues it holds, not its longest sequence.
     """
     length = effective_len(F.length("sequence"), size, strategy)
-    # the pieces are cut before they are exploded, so that no copy of the sequence travels with each window
+    # Cut before exploding, so that no copy of the sequence travels with each window. The outer form keeps the
+    # optimizer from adding a filter on the array's size, which would cut every sequence a second time.
     cut = df.select("id", F.length("sequence").alias("length"), windowed_text(F.col("sequence"), length, size, overlap).alias("ws"))
-    rows = cut.select("id", "length", F.posexplode("ws").alias("window", "z")).select("id", "length", "window", "z.weight", "z.text")
+    rows = cut.select("id", "length", F.posexplode_outer("ws").alias("window", "z")).select("id", "length", "window", "z.weight", "z.text")
     schema = f"id {df.schema['id'].dataType.simpleString()}, length int, window int, weight int, vec array<double>"
     return rows.mapInPandas(encoder, schema)
 
