@@ -3,7 +3,7 @@
 A window without partition columns, or over one very large partition, sorts everything in one task.
 ``ordered_prefix`` range-partitions the rows by (partition columns, order columns), keeps the partition
 number, adds the counts and sums of earlier ranges, and numbers rows only within a range. The ranged rows
-are checkpointed first, because a range partitioning computed twice may cut at different places.
+are written out first, because a range partitioning computed twice may cut at different places.
 """
 
 from __future__ import annotations

@@ -44,6 +44,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor does not lose the rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a written table in the shared folder, so a lost executor does not lose them.
+
+    Unlike a checkpoint this computes the rows once, and readers prune columns and know the table's size.
+    """
+    path = scratch_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
