@@ -166,7 +166,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each round links every node to
     the smallest node of its neighbourhood, and the rounds needed grow with the logarithm of the size.
-    Every round is checkpointed.
+    Every round is written out, so that the plan does not grow.
     """
     links = cut_lineage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()

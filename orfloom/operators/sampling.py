@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orfloom.operators.ordering import hash_order, hash_position, hash_uniform, ordered_prefix
 from orfloom.operators.skew import HOT_ROWS, hot_split_join
+from orfloom.session import cut_lineage
 
 UNITS = float(1 << 60)
 DIGITS = 1 << 52
@@ -20,7 +21,7 @@ def group_sizes(df: DataFrame, cluster: str, exact: str, hot_rows: int = HOT_ROW
 
 
 def _group_tables(df: DataFrame, cluster: str, exact: str, q: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    groups = df.groupBy(cluster, exact).agg(F.count(F.lit(1)).alias("exact_size"))
+    groups = cut_lineage(df.groupBy(cluster, exact).agg(F.count(F.lit(1)).alias("exact_size")))
     clusters = groups.groupBy(cluster).agg(
         F.sum("exact_size").alias("cluster_size"),
         F.count(F.lit(1)).alias("exact_groups"),

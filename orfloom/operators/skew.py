@@ -96,7 +96,7 @@ def hot_split_join(
 ) -> DataFrame:
     """Shuffle join for ordinary keys, broadcast of the lookup rows of the few hot keys.
 
-    ``hot_from`` is a table with the same keys that is cheaper to count, such as a checkpointed one.
+    ``hot_from`` is a table with the same keys that is cheaper to count, such as a written one.
     """
     keys = [on] if isinstance(on, str) else list(on)
     hot = checked_small(hot_keys(facts if hot_from is None else hot_from, keys, hot_rows))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orfloom.operators.ordering import hash_order, hash_position
 from orfloom.operators.quality import check_ratios
 from orfloom.operators.skew import lookup_join
+from orfloom.session import cut_lineage
 
 SPLITS = ("train", "val", "test")
 EXACT_TAIL = 256
@@ -96,7 +97,7 @@ def balanced_group_split(
     Only the histogram of unit sizes (one row per distinct pair of counts) reaches the driver, as a stream.
     """
     check_ratios(*ratios)
-    units = unit_stats(df, unit, status)
+    units = cut_lineage(unit_stats(df, unit, status))
     histogram = units.groupBy("total_count", "supervised_count").agg(F.count(F.lit(1)).alias("units"))
     totals = units.agg(F.sum("total_count"), F.sum("supervised_count")).first()
     ordered = histogram.orderBy(F.desc("total_count"), F.desc("supervised_count"))
@@ -117,7 +118,7 @@ def balanced_group_split(
         .when(F.col("__pos") < F.col("n_train") + F.col("n_val"), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    assigned = placed.select(unit, split.alias("split"))
+    assigned = cut_lineage(placed.select(unit, split.alias("split")))
     return _named(lookup_join(df, assigned, unit, "left", null_safe=True), strategy, version)
 
 
@@ -131,7 +132,7 @@ def random_group_split(
     version: str = "genome_context_v1",
 ) -> DataFrame:
     """Units in seeded order, cut at the train and train + val shares."""
-    units = df.select(unit).where(F.col(unit).isNotNull()).distinct()
+    units = cut_lineage(df.select(unit).where(F.col(unit).isNotNull()).distinct())
     placed = hash_position(units.withColumn("__digest", hash_order(F.col(unit), seed)), [], "__digest", unit, "__pos")
     n = units.agg(F.count(F.lit(1)).alias("n")).scalar()
     split = (

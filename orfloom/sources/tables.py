@@ -108,15 +108,14 @@ def list_assets(spark: SparkSession, root: str, suffix: str, limit: int | None =
 def read_texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """(path, text) of whole files below ``root``."""
     return (
-        spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{suffix.lstrip('.')}")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{suffix.lstrip('.')}")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(label, idx) from a JSON list (index is the position) or a JSON object (label to index)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     as_list = text.where(F.col("value").rlike(r"^\s*\[")).select(
         F.posexplode(F.from_json("value", "array<string>")).alias("idx", "label")
     )
