@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfloom.operators.skew import HOT_ROWS, checked_small, hot_keys
+from orfloom.operators.skew import HOT_ROWS, checked_hot_keys
 from orfloom.session import cut_lineage
 
 RANGE = "__range"
@@ -115,9 +115,7 @@ def with_neighbours(
     """
     keyed = df.where(~_any_null(part))
     packed = keyed.withColumn("__payload", F.struct(*[c.alias(n) for n, c in payload.items()]))
-    hot = checked_small(hot_keys(keyed, part, hot_rows))
-    if hot is None:
-        raise ValueError("hot_rows is too low: the hot groups themselves do not fit a broadcast")
+    hot, _ = checked_hot_keys(keyed, part, hot_rows)
     window = Window.partitionBy(*part).orderBy(*order)
     if hot.isEmpty():
         return packed.withColumn(slots, _slots(F.col("__payload"), reach, window)).drop("__payload")

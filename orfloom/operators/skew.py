@@ -85,6 +85,31 @@ def hot_keys(facts: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
 
 
+def checked_hot_keys(facts: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, int]:
+    """The hot keys as a small table and the limit used: the limit grows until the keys fit a broadcast."""
+    while True:
+        hot = checked_small(hot_keys(facts, keys, hot_rows))
+        if hot is not None:
+            return hot, hot_rows
+        hot_rows *= 8
+
+
+def _hot_part(
+    facts: DataFrame, lookup: DataFrame, keys: list[str], null_safe: bool, hot_rows: int
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Hot keys and their lookup rows, both of checked size; (None, None) when no key is hot."""
+    while True:
+        hot, hot_rows = checked_hot_keys(facts, keys, hot_rows)
+        if hot.isEmpty():
+            return None, None
+        hot._orfloom_small = True
+        rows = checked_small(_attach(lookup, hot, keys, "left_semi", null_safe))
+        if rows is not None:
+            rows._orfloom_small = True
+            return hot, rows
+        hot_rows *= 8
+
+
 def hot_split_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -99,21 +124,16 @@ def hot_split_join(
     ``hot_from`` is a table with the same keys that is cheaper to count, such as a written one.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    hot = checked_small(hot_keys(facts if hot_from is None else hot_from, keys, hot_rows))
-    if hot is None:
-        raise ValueError("hot_rows is too low: the hot keys themselves do not fit a broadcast")
+    hot, hot_lookup = _hot_part(facts if hot_from is None else hot_from, lookup, keys, null_safe, hot_rows)
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     unmatched = None
     if not null_safe:
         # a null key matches nothing: keep such rows out of the shuffle instead of piling them on one task
         unmatched = facts.where(any_null) if how == "left" else None
         facts = facts.where(~any_null)
-    if hot.isEmpty():
+    if hot is None:
         joined = _attach(facts, lookup, keys, how, null_safe)
     else:
-        hot._orfloom_small = True
-        hot_lookup = _attach(lookup, hot, keys, "left_semi", null_safe)
-        hot_lookup._orfloom_small = True
         in_hot = _attach(facts, hot, keys, "left_semi", null_safe)
         in_rest = _attach(facts, hot, keys, "left_anti", null_safe)
         joined = _attach(in_rest, lookup, keys, how, null_safe).unionByName(

@@ -13,12 +13,20 @@ from orfloom.operators.rollups import value_counts
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", columns: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sep: str = "\t",
+    columns: list[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header line. Quotes inside a field are doubled; fields may span lines."""
+    """Delimited text with a header line. Quotes inside a field are doubled.
+
+    ``multi_line`` allows line breaks inside quoted fields, at the price that a file cannot be split.
+    """
     df = (
         spark.read.schema(schema)
-        .options(header=True, sep=sep, encoding="UTF-8", quote='"', escape='"', multiLine=False, enforceSchema=False)
+        .options(header=True, sep=sep, encoding="UTF-8", quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
         .csv(path)
     )
     return df.select(*columns) if columns else df

@@ -54,6 +54,9 @@ def test_delimited_round_trip_and_bom(spark, tmp_path):
     assert sorted(map(str, io.read_table(spark, f"{tmp_path}/t", df.schema).collect())) == sorted(map(str, df.collect()))
     with pytest.raises(Exception, match="(?i)already exists"):
         io.write_table(df, f"{tmp_path}/t")
+    lines = spark.createDataFrame([("a\nb", 1), ("c", 2)], "s string, n int")
+    io.write_table(lines, f"{tmp_path}/m")
+    assert {r.s for r in io.read_table(spark, f"{tmp_path}/m", lines.schema, multi_line=True).collect()} == {"a\nb", "c"}
     (tmp_path / "bom.csv").write_bytes("﻿s,n\nx,1\n".encode())
     assert io.read_table(spark, f"{tmp_path}/bom.csv", "s string, n int", ",").collect() == [("x", 1)]
 

@@ -36,6 +36,16 @@ def test_hot_split_join_equals_plain_join(spark, skewed, how, null_safe):
     assert rows_of(lookup_join(skewed, lookup, "k", how, null_safe, small_rows=10, hot_rows=100)) == rows_of(plain)
 
 
+def test_hot_limit_grows_until_broadcasts_fit(spark, skewed, monkeypatch):
+    lookup = spark.range(80).select(F.col("id").alias("k"), F.repeat(F.lit("v"), 100).alias("v"))
+    plain = rows_of(skewed.join(lookup, "k", "inner").select("id", "k", "v"))
+    from orfloom.operators import skew
+
+    real = skew.checked_small
+    monkeypatch.setattr(skew, "checked_small", lambda df, *a: real(df, 3))
+    assert rows_of(hot_split_join(skewed, lookup, "k", "inner", hot_rows=2)) == plain
+
+
 def test_size_checks(spark):
     assert checked_small(spark.range(5), 4) is None
     assert checked_small(spark.range(5), 5).count() == 5
