@@ -314,9 +314,10 @@ SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'local' WHEN vec_id IS NOT NUL
 FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id""")
 def _(spark, sf):
     t = Tables(spark, sf)
+    bulk = labels.where_available(t.embeddings.select(F.col("vec_id").alias("doc_id")), t.documents, "doc_id")
     candidates = (
         t.labels.select("doc_id", F.lit("local").alias("source"))
-        .unionByName(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit("bulk").alias("source")))
+        .unionByName(bulk.withColumn("source", F.lit("bulk")))
         .unionByName(t.documents.select("doc_id", F.lit("online").alias("source")))
     )
     return assets.first_source(candidates, "doc_id", "source", ["local", "bulk", "online"])
