@@ -16,13 +16,13 @@ from orfloom.session import cut_lineage
 BREAK = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-COMMON = 20
+COMMON = 12
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.45
 SPAN = 8
 
-CLASSES = ("lower", "upper", "digit", "punctuation", "symbol", "space", "other")
+CLASSES = ("upper", "digit", "punctuation", "symbol", "space", "other")
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -38,13 +38,12 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
     solid = F.length(F.array_join("__words", ""))
     counted = split.withColumns({
         "__word_chars": solid.cast("long"),
-        "__c_lower": _removed(body, r"\p{Ll}+"),
-        "__c_upper": _removed(body, r"\p{Lu}+"),
-        "__c_digit": _removed(body, r"\p{Nd}+"),
+        "__c_upper": _removed(body, r"[A-Z\u00C0-\u00DE]+"),
+        "__c_digit": _removed(body, r"[0-9]+"),
         "__c_punctuation": _removed(body, r"[.,;:!?'\"()\-]+"),
         "__c_symbol": _removed(body, r"[#*$%&|<>]+"),
     })
-    named = F.col("__c_lower") + F.col("__c_upper") + F.col("__c_digit") + F.col("__c_punctuation") + F.col("__c_symbol")
+    named = F.col("__c_upper") + F.col("__c_digit") + F.col("__c_punctuation") + F.col("__c_symbol")
     return counted.withColumns({
         "__c_space": F.length(body) - F.col("__word_chars"),
         "__c_other": F.col("__word_chars") - named,
@@ -65,10 +64,10 @@ def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     shares = sums.select(
         "__lang", "n", F.array(*[F.col(c) / F.greatest(all_chars, F.lit(1)) for c in CLASSES]).alias("__ref_class")
     )
-    words = keyed.select(
-        "__lang",
-        F.explode(F.array_remove(F.split(F.coalesce(F.col("__raw").cast("string"), F.lit("")), BREAK), "")).alias("word"),
+    hashes = F.transform(
+        F.array_remove(F.split(F.coalesce(F.col("__raw").cast("string"), F.lit("")), BREAK), ""), lambda w: F.xxhash64(w)
     )
+    words = keyed.select("__lang", F.explode(hashes).alias("word"))
     counts = words.groupBy("__lang", "word").agg(F.count(F.lit(1)).alias("c"))
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("c"), "word"))
     top = counts.withColumn("r", rank).where(F.col("r") <= COMMON)
@@ -77,7 +76,7 @@ def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return joined.select(
         "__lang",
         "__ref_class",
-        F.coalesce(F.transform("top", lambda t: F.xxhash64(t["word"])), F.array().cast("array<long>")).alias("__ref_words"),
+        F.coalesce(F.transform("top", lambda t: t["word"]), F.array().cast("array<long>")).alias("__ref_words"),
         let(
             F.coalesce(F.transform("top", lambda t: t["c"] / F.col("n")), F.array().cast("array<double>")),
             lambda p: F.concat(p, F.array(F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))),
@@ -162,3 +161,13 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     apart = (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
     out = scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(apart, F.lit(False)))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def passed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose verdict is ``kept``, with the columns of the input.
+
+    The verdict goes through an outer explode: a plain filter would be pushed below the measuring and would
+    evaluate all of it again for every column that the verdict reads.
+    """
+    marked = measured(docs, text, lang).withColumn("__one", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
+    return marked.where("__one is not null").select(*docs.columns)
