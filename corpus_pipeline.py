@@ -16,7 +16,7 @@ from orfloom.session import cut_lineage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the divergence test."""
-    return quality.measured(docs).where("kept").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
