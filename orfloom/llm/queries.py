@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orfloom.llm import mixing, packing, partenum, quality, secrets
+from orfloom.llm import langid, lattice, mixing, ngram_lm, packing, pages, partenum, quality, quotes, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,11 +31,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lattice_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_lexical_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op4_page_differencing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_quotation_linking", quotes.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_cross_parsing_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents")).select(
@@ -53,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_trie_lm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
