@@ -10,8 +10,8 @@ more than ``m`` groups must then agree, and a set with at most ``m`` groups that
 empty signature. Sets with more emit them as well, so no pair is lost.
 
 Candidates of a signature are first compared with one member each (three rounds, each with another member);
-then every pair that is not known to be connected is compared, after two exact bounds (sizes, and counts of
-shingles in 64 bins). Copies inside one task are represented by the first of them.
+then every pair that is not known to be connected is compared, after two exact bounds (sizes, and the parities of
+shingle counts in about two bins per shingle: sets differ in at least as many shingles as parities). Copies inside one task are represented by the first of them.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ KEY_BITS = 48
 FLUSH = 3_000_000
 STAR_ROUNDS = 3
 BLOCK = 1_024
-BINS = 64
+LEAST_BITS = 1_024
 BROADCAST_IDS = 1_000_000
 
 _windows: list[tuple[int, int]] = [(1, 4)]
@@ -104,16 +104,33 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys) >> np.uint64(64 - KEY_BITS), np.concatenate(owners)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit per bin: whether the bin's number of shingles is odd. The bins of half the width fold by exclusive or."""
+    bits = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """The sketches as rows of ``width`` 64-bit words."""
+    out = np.empty((len(sketches), width), np.uint64)
+    for r, sketch in enumerate(sketches):
+        words = np.frombuffer(sketch, np.uint64)
+        while len(words) > width:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[r] = words
+    return out
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, sets in text_sets(batch.column(1)):
-            sketch = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).clip(0, 65535) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)),
-                    pa.array([b.astype("<u2").tobytes() for b in sketch], pa.binary()),
+                    pa.array([parities(s) for s in sets], pa.binary()),
                 ],
                 ["doc_id", "n_shingles", "set_hash", "sketch"],
             )
@@ -196,13 +213,18 @@ def _run_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bin counts differ by no more than a pair of similarity 0.8 can."""
+    """Pairs whose parities differ in no more bins than a pair of similarity 0.8 can."""
     for batch in batches:
         n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        left, right = [
-            np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS).astype(np.int64) for i in (4, 5)
-        ]
-        keep = 9 * np.abs(left - right).sum(1) <= n
+        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        width = np.array([min(len(x), len(y)) // 8 for x, y in zip(left, right, strict=True)], np.int64)
+        keep = np.zeros(len(batch), bool)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            for a in range(0, len(rows), 4096):
+                part = rows[a : a + 4096]
+                apart = folded([left[r] for r in part], w) ^ folded([right[r] for r in part], w)
+                keep[part] = 9 * np.bitwise_count(apart).sum(1, dtype=np.int64) <= n[part]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
@@ -242,14 +264,15 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def one(t: pa.Table) -> pa.RecordBatch:
         part, ids, comp, n = [t.column(c).to_numpy() for c in ("part", "id", "comp", "n")]
         cell = t.column("cell")[0].as_py()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        raw = t.column("sketch").to_pylist()
+        sketch = folded(raw, min(map(len, raw)) // 8)
         low, high = divmod(cell, 1 << 20)
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
         out_a, out_b = [], []
         for i in left:
             j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (low != high))]
             j = j[(5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
-            j = j[9 * np.abs(sketch[j] - sketch[i]).sum(1) <= n[j] + n[i]]
+            j = j[9 * np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= n[j] + n[i]]
             out_a.append(np.minimum(ids[j], ids[i]))
             out_b.append(np.maximum(ids[j], ids[i]))
         pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.zeros((0, 2), np.int64)
@@ -268,15 +291,19 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(held)
 
 
-def _check(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Each text is read once more, and only texts of pairs within the bounds."""
+def _near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) within both bounds."""
     fa = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     fb = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     near = (
         pairs.join(fa, "a").join(fb, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
         .select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_bounded, "a long, b long")
     )
-    near = cut_lineage(near)
+    return cut_lineage(near)
+
+
+def _check(near: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link. Each text is read once more, and only texts of pairs within the bounds."""
     ids = cut_lineage(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
     n_ids = ids.count()
     texts = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
@@ -343,7 +370,7 @@ def _components(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFr
         if pairs.isEmpty():
             state = None
             break
-        found = _check(pairs, named, reps)
+        found = _check(_near(pairs, reps), named)
         edges = found if edges is None else edges.unionByName(found)
         comps = cut_lineage(components(edges))
         # the next round starts from a member outside the first one's component; members of it stay to be compared
@@ -359,7 +386,7 @@ def _components(named: DataFrame, members: DataFrame, reps: DataFrame) -> DataFr
         state = merged.join(used, ["run", "id"], "left_anti")
     if state is not None:
         rest = _rest_pairs(merged, reps)
-        found = _check(rest, named, reps)
+        found = _check(rest, named)
         edges = edges.unionByName(found)
     links = copies if edges is None else copies.unionByName(edges)
     return components(links).withColumnRenamed("id", "doc_id")
