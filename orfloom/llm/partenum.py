@@ -203,9 +203,12 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _run_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, lengths, members in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+        for lengths, members in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lengths, members = unpack_bytes(lengths).astype(np.int64), unpack_bytes(members).view(np.int64)
-            run = np.repeat(np.arange(len(lengths)), lengths) + (shard << 40)
+            # a list is named by its members, so that the same list of several signatures and shards is one
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            digest = mix(np.add.reduceat(mix(members.view(np.uint64), 11), starts) + lengths.astype(np.uint64))
+            run = np.repeat(digest.view(np.int64), lengths)
             for a in range(0, len(run), 1 << 18):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run[a : a + (1 << 18)]), pa.array(members[a : a + (1 << 18)])], ["run", "id"]
@@ -261,22 +264,31 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a block pair that are not connected yet and pass both bounds; input sorted by (run, cell)."""
     names = ["run", "cell", "part", "id", "comp", "n", "sketch"]
 
-    def one(t: pa.Table) -> pa.RecordBatch:
-        part, ids, comp, n = [t.column(c).to_numpy() for c in ("part", "id", "comp", "n")]
-        cell = t.column("cell")[0].as_py()
-        raw = t.column("sketch").to_pylist()
+    def one(cell: int, part, ids, comp, n, raw) -> tuple[np.ndarray, np.ndarray]:
         sketch = folded(raw, min(map(len, raw)) // 8)
         low, high = divmod(cell, 1 << 20)
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        out_a, out_b = [], []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (low != high))]
-            j = j[(5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
-            j = j[9 * np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= n[j] + n[i]]
-            out_a.append(np.minimum(ids[j], ids[i]))
-            out_b.append(np.maximum(ids[j], ids[i]))
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        out = []
+        for k in range(0, len(left), max(1, (1 << 15) // max(1, len(right)))):
+            own = left[k : k + max(1, (1 << 15) // max(1, len(right)))]
+            apart = comp[own][:, None] != comp[right][None, :]
+            if low == high:
+                apart &= ids[own][:, None] < ids[right][None, :]
+            i, j = np.nonzero(apart)
+            i, j = own[i], right[j]
+            close = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+            i, j = i[close], j[close]
+            close = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+            out.append((i[close], j[close]))
+        i, j = np.concatenate([x for x, _ in out] or [left[:0]]), np.concatenate([y for _, y in out] or [left[:0]])
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    def several(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        cell, part, ids, comp, n = [t.column(c).to_numpy() for c in names[1:6]]
+        raw, found = t.column("sketch").to_pylist(), []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            found.append(one(int(cell[a]), part[a:b], ids[a:b], comp[a:b], n[a:b], raw[a:b]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -284,11 +296,11 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = t if held is None else pa.concat_tables([held, t])
         key = np.stack([t.column("run").to_numpy(), t.column("cell").to_numpy()], 1)
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(t) else np.zeros(0, int)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield one(t.slice(a, b - a))
+        if len(cuts) > 1:
+            yield several(t.slice(0, cuts[-1]), cuts)
         held = t.slice(cuts[-1]) if len(cuts) else None
     if held is not None and len(held):
-        yield one(held)
+        yield several(held, np.array([0, len(held)]))
 
 
 def _near(pairs: DataFrame, facts: DataFrame) -> DataFrame:
