@@ -304,9 +304,9 @@ def _(spark, sf):
 
 @query("M13_plan_families", f"""WITH {PLAN_SQL}
 SELECT family_id, count(*) AS members, median(sequence_length) AS median_length, bool_or(any_core) AS any_core, min(archive_name) AS archive
-FROM plan WHERE NOT has_local_structure AND family_id IS NOT NULL GROUP BY 1 ORDER BY members DESC, family_id LIMIT 20""")
+FROM plan WHERE NOT has_local_structure AND family_id IS NOT NULL GROUP BY 1 ORDER BY members DESC, family_id""")
 def _(spark, sf):
-    return assets.plan_families(search_plan(Tables(spark, sf))).limit(20)
+    return assets.plan_families(search_plan(Tables(spark, sf)))
 
 
 @query("M14_source_cascade", """

@@ -28,11 +28,18 @@ def local_session(cpus: int | str = 8, app: str = "orfloom", memory: str = "16g"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in a local session without it.
+
+    On a cluster every executor would write to a disk of its own, so a missing setting is an error there.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root is None:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-orfloom-")
+        root = context.getCheckpointDir()
+    if root is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-orfloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
