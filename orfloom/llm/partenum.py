@@ -31,7 +31,7 @@ from orfloom.llm.words import lower_ascii, mix, shingle_sets, slices, span_hashe
 from orfloom.session import cut_lineage
 
 KEY_BITS = 48
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 STAR_ROUNDS = 3
 BLOCK = 1_024
 LEAST_BITS = 1_024
@@ -149,6 +149,7 @@ def _signature_rows(shards: int):
             order = np.argsort(key)
             key, val = key[order], val[order]
             shard = (key * np.uint64(shards)) >> np.uint64(KEY_BITS) if shards < 1 << 16 else key % np.uint64(shards)
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_pydict(
                 packed_rows(shard.astype(np.int64), key, val, 0),
                 pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary()),
