@@ -15,7 +15,9 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +101,12 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
     return parser.lines
 
 
-def shared_lines(own: list[str], other: list[str]) -> list[bool]:
+def line_marks(lines: list[str]) -> list[int]:
+    """A 64-bit hash per line: stands for the line where pages are compared, so that only hashes travel to a partner."""
+    return np.array([xxhash.xxh3_64_intdigest(line) for line in lines], np.uint64).view(np.int64).tolist()
+
+
+def shared_lines(own: list, other: list) -> list[bool]:
     """Which lines of ``own`` lie on the longest common subsequence with ``other`` (bit-parallel rows)."""
     n, m = len(own), len(other)
     shared = [False] * n
@@ -142,14 +149,15 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
-            rows = [page_lines(h) for h in part.column(2).to_pylist()]
+            rows = [page_lines(h) for h in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1),
+                    part.column(0), part.column(1), part.column(2),
                     pa.array([[line for line, _ in r] for r in rows], pa.list_(pa.string())),
                     pa.array([[inside for _, inside in r] for r in rows], pa.list_(pa.bool_())),
+                    pa.array([line_marks([line for line, _ in r]) for r in rows], pa.list_(pa.int64())),
                 ],
-                ["row", "page_id", "lines", "inside"],
+                ["row", "page_id", "url", "lines", "inside", "marks"],
             )
 
 
@@ -157,7 +165,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for lines, inside, other in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
-            shared = shared_lines(lines, other) if other else [False] * len(lines)
+            shared = shared_lines(line_marks(lines), other) if other else [False] * len(lines)
             article = any(inside)
             outside = {line for line, within in zip(lines, inside, strict=True) if not within}
             texts.append("\n".join(
@@ -189,20 +197,18 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     and keeps what its markup allows. Ties between partners go to the nearer one in path order, then the earlier.
     Repeated rows are pages of their own; other columns are ignored.
     """
-    named = cut_lineage(
-        pages.select(
-            F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("page_id"),
-            F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"),
-        )
+    named = pages.select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("page_id"),
+        F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"),
     )
     lined = cut_lineage(
-        named.select("row", "page_id", "html").mapInArrow(
-            _line_rows, "row long, page_id long, lines array<string>, inside array<boolean>"
+        named.mapInArrow(
+            _line_rows,
+            "row long, page_id long, url string, lines array<string>, inside array<boolean>, marks array<long>",
         )
     )
-    digests = lined.select("row", F.xxhash64("lines").alias("digest"))
-    light = named.select("row", "url").join(digests, "row").select(
-        "row", "digest",
+    light = lined.select(
+        "row", F.xxhash64("marks").alias("digest"),
         F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), _path(F.col("url")).alias("path"),
     ).where("host <> ''")
     payload = {"row": F.col("row"), "path": F.col("path"), "digest": F.col("digest")}
@@ -216,9 +222,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         ),
     )
     partners = near.select("row", F.array_max(ranked)["partner"].alias("partner")).where("partner is not null")
-    others = lined.select(F.col("row").alias("partner"), F.col("lines").alias("other"))
+    others = lined.select(F.col("row").alias("partner"), F.col("marks").alias("other"))
     paired = partners.join(others, "partner").select("row", "other")
-    joined = lined.join(named.select("row", "url"), "row").join(paired, "row", "left")
+    joined = lined.drop("marks").join(paired, "row", "left")
     out = joined.select("page_id", "url", "lines", "inside", "other").mapInArrow(
         _text_rows, "page_id long, url string, text string, n_chars long"
     )
