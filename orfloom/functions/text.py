@@ -24,11 +24,7 @@ UNIPROT_SHAPES = (
     r"^[A-NR-Z][0-9][A-Z0-9]{3}[0-9]$",
     r"^[A-Z0-9]{10}$",
 )
-GENBANK_SHAPES = (
-    r"^[A-Z]{1,4}_[0-9]+(\.[0-9]+)?$",
-    r"^[A-Z]{1,2}[0-9]{5,}\.[0-9]+$",
-    r"^[A-Z]{3}[0-9]{5,}\.[0-9]+$",
-)
+GENBANK_SHAPE = r"^[A-Z]{1,4}_[0-9]+(?:\.[0-9]+)?$|^[A-Z]{1,2}[0-9]{5,}\.[0-9]+$|^[A-Z]{3}[0-9]{5,}\.[0-9]+$"
 # Wording variants mapped to one spelling, applied in this order.
 TERM_VARIANTS = (
     ("anti restriction", "anti-restriction"),
@@ -103,7 +99,7 @@ def afdb_like(c: Column) -> Column:
 
 
 def genbank_like(c: Column) -> Column:
-    return first_matching(c, GENBANK_SHAPES)
+    return first_matching(c, (GENBANK_SHAPE,))
 
 
 def family_id(c: Column) -> Column:

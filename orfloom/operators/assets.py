@@ -131,10 +131,13 @@ def reconcile(requested: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 def reconcile_assets(manifest: DataFrame, files: DataFrame, path: str = "output_relpath") -> DataFrame:
     """Manifest rows as ``existing`` (file there and its text valid) or ``to_fetch``."""
-    texts = files.select(path, F.col("text").alias("__text"))
-    joined = manifest.join(texts, path, "left")
-    ok = F.col("__text").isNotNull() & structure_text_ok(F.col("__text"), F.col("preferred_format"))
-    return joined.withColumn("state", F.when(ok, F.lit("existing")).otherwise(F.lit("to_fetch"))).drop("__text")
+    # the texts are judged where they are read: two booleans go through the join, not whole files
+    valid = {f"__{kind}": structure_text_ok(F.col("text"), F.lit(kind)) for kind in ("cif", "pdb")}
+    judged = files.where(F.col("text").isNotNull()).select(path, *[c.alias(name) for name, c in valid.items()])
+    joined = manifest.join(judged, path, "left")
+    is_cif = F.lower(F.coalesce(F.col("preferred_format"), F.lit(""))) == "cif"
+    ok = F.when(is_cif, F.col("__cif")).otherwise(F.col("__pdb"))
+    return joined.withColumn("state", F.when(ok, F.lit("existing")).otherwise(F.lit("to_fetch"))).drop(*valid)
 
 
 def hit_matches(targets: DataFrame, meta: DataFrame, order: str) -> DataFrame:
@@ -145,7 +148,8 @@ def hit_matches(targets: DataFrame, meta: DataFrame, order: str) -> DataFrame:
     by_model = keep_first(meta, "model_id", [F.desc(order)]).drop(order)
     columns = [F.col(c) for c in by_model.columns]
     model = hot_split_join(targets, by_model.select(F.col("model_id").alias("query_id"), *columns), "query_id", "inner")
-    accession = targets.join(meta.select(F.col("accession").alias("query_id"), *columns), "query_id", "inner")
+    by_accession = meta.select(F.col("accession").alias("query_id"), *columns)
+    accession = hot_split_join(targets, by_accession, "query_id", "inner")
     return model.unionByName(accession)
 
 

@@ -19,6 +19,7 @@ ROUTING = (
     ("parent_only", "l1"), ("parent_only", "l2"), ("open_set", "open_set"),
 )
 OPTIONAL_ROUTING = (("defer", "l1"), ("defer", "l2"), ("defer", "open_set"), ("open_set", "l1"))
+# Column contracts of the tables written.
 STANDARD_COLUMNS = (
     "protein_id", "genome_id", "contig_id", "gene_index", "sequence", "sequence_length", "phrog_annotation",
     "annotation_raw", "annotation_normalized",

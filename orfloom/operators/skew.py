@@ -1,6 +1,6 @@
 """Joins and sizes that stay sound when one key holds a large share of the rows.
 
-``checked_small`` is the only way this package broadcasts: it fetches at most ``max_rows + 1`` rows, and
+``checked_small`` is the only way this package broadcasts: it sums rows and bytes before it fetches anything, and
 returns None when the table is larger, so each caller keeps a shuffle path. ``lookup_join`` attaches a
 table that is unique per key. Keys with more than ``hot_rows`` rows on the fact side are few (at most
 ``rows / hot_rows``); their lookup rows are broadcast, so those facts are not shuffled at all, while the
@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL_ROWS = 100_000
 SMALL_BYTES = 64 << 20
@@ -20,11 +21,29 @@ HOT_ROWS = 2_000_000
 
 
 def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
-    """The table as local rows if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else None."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
+    """The table as local rows if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else None.
+
+    One aggregate decides, so a table that is too large never leaves the executors.
+    """
+    sizes = reduce(lambda a, b: a + b, [_value_bytes(field) for field in df.schema.fields], F.lit(8).cast("long"))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sizes), F.lit(0))).first()
+    if rows > max_rows or size > max_bytes:
         return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
+def _value_bytes(field: T.StructField) -> Column:
+    """Bytes of a value, without the overhead of rows: exact for text and flat arrays, the printed form for nested ones."""
+    value, kind = F.col(f"`{field.name.replace('`', '``')}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        size = F.size(value) * 8
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        return F.lit(16).cast("long")
+    return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
 
 
 def small_values(df: DataFrame, column: str, max_rows: int = 10_000) -> list:

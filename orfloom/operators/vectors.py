@@ -137,10 +137,16 @@ def vectorize(
     done: DataFrame | None = None,
     shard_rows: int = 20_000,
 ) -> DataFrame:
-    """Sequence table to sharded vectors; ids in ``done`` are skipped. Short sequences need no pooling shuffle."""
+    """Sequence table to sharded vectors; ids in ``done`` are skipped. Short sequences need no pooling shuffle.
+
+    New shards are numbered after the highest ``shard_no`` of ``done`` (from 0 if it has no such column).
+    """
     source = valid_sequences(df, key, seq)
+    first_shard = 0
     if done is not None:
         source = todo(source, done, "id")
+        if "shard_no" in done.columns:
+            first_shard = done.agg(F.coalesce(F.max("shard_no") + 1, F.lit(0))).first()[0]
     fits = F.length("sequence") <= size
     if strategy == "truncate":
         pooled = encode_windows(source, encoder, size, overlap, strategy).select("id", "length", F.col("vec").alias("embedding"))
@@ -154,7 +160,7 @@ def vectorize(
     length = F.col("length")
     places = assign_shards(good.select("id", "length"), "length", "id", shard_rows).drop("length")
     return good.join(places, "id").select(
-        F.col("id").alias("embedding_id"), "shard_no", "row_index",
+        F.col("id").alias("embedding_id"), (F.col("shard_no") + first_shard).alias("shard_no"), "row_index",
         length.alias("orig_seq_len"),
         effective_len(length, size, strategy).alias("effective_seq_len"),
         is_truncated(length, size, strategy).alias("truncated_flag"),

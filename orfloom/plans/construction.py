@@ -17,7 +17,7 @@ from orfloom.plans.registry import (
 )
 from orfloom.operators.context import CONTEXT_FEATURES, context_features
 from orfloom.plans.registry import sql_strip
-from orfloom.session import scratch_dir
+from orfloom.session import cut_lineage, scratch_dir
 from orfloom.sources import tables as io
 
 GREEDY_SQL = f"""{UNITS_SQL}, ranked AS (SELECT *, row_number() OVER (ORDER BY total_count DESC, supervised_count DESC, o_custkey) AS rn FROM units),
@@ -347,14 +347,20 @@ def _(spark, sf):
     )
 
 
-@query("M15_vectorize_resume", f"""WITH clean AS (SELECT doc_id, {CLEAN_TEXT} AS s FROM documents)
-SELECT doc_id AS embedding_id, CAST(length(s) AS INTEGER) AS orig_seq_len, CAST(least(length(s), 512) AS INTEGER) AS effective_seq_len, length(s) > 512 AS truncated_flag
-FROM clean WHERE length(s) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("M15_vectorize_resume", f"""WITH clean AS (SELECT doc_id, {CLEAN_TEXT} AS s, doc_id IN (SELECT doc_id FROM labels) AS early FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY length(s), doc_id) - 1 AS rn, count(*) FILTER (WHERE early) OVER () AS stored
+  FROM clean WHERE length(s) > 0)
+SELECT doc_id AS embedding_id, CAST(rn // 64 + CASE WHEN early THEN 0 ELSE (stored + 63) // 64 END AS INTEGER) AS shard_no, CAST(rn % 64 AS INTEGER) AS row_index,
+  CAST(length(s) AS INTEGER) AS orig_seq_len, CAST(length(s) AS INTEGER) AS effective_seq_len, false AS truncated_flag FROM numbered""")
 def _(spark, sf):
     t = Tables(spark, sf)
-    done = t.labels.select(F.col("doc_id").alias("id"))
-    out = vectors.vectorize(t.documents, "doc_id", "text", vectors.residue_counts(32), strategy="truncate", done=done)
-    return out.select("embedding_id", "orig_seq_len", "effective_seq_len", "truncated_flag")
+    encoder = vectors.residue_counts(32)
+    columns = ["embedding_id", "shard_no", "row_index", "orig_seq_len", "effective_seq_len", "truncated_flag"]
+    early = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    stored = cut_lineage(vectors.vectorize(early, "doc_id", "text", encoder, shard_rows=64).select(*columns))
+    done = stored.select(F.col("embedding_id").alias("id"), "shard_no")
+    added = vectors.vectorize(t.documents, "doc_id", "text", encoder, done=done, shard_rows=64)
+    return stored.unionByName(added.select(*columns))
 
 
 @query("M16_modality_dropout", """

@@ -9,34 +9,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 _S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
-RAW_PROTEINS = _struct(
-    protein_id=_S, genome_id=_S, accession=_S, gene_index=_L, strand=_S, protein_length_aa=_L,
-    protein_sequence=_S, phrog_annotation=_S,
-)
-ANNOTATION_LOOKUP = _struct(phrog_annotation=_S, annot=_S)
-ONTOLOGY_MAPPING = _struct(
-    annotation=_S, level1_direct=_S, level2_primary=_S, node_primary=_S, status=_S, multi_label_flag=_S,
-    secondary_level1=_S, secondary_level2=_S, secondary_node=_S,
-)
-STANDARDIZED = _struct(
-    protein_id=_S, genome_id=_S, contig_id=_S, gene_index=_L, sequence=_S, sequence_length=_I,
-    phrog_annotation=_S, annotation_raw=_S, annotation_normalized=_S,
-)
-LABELS_LONG = _struct(
-    protein_id=_S, genome_id=_S, annotation_normalized=_S, level1_label=_S, level2_label=_S, node_name=_S,
-    label_role=_S, status=_S,
-)
 CLUSTER_PAIRS = _struct(rep=_S, member=_S)
-MEMBERSHIP = _struct(protein_id=_S, exact_sequence_rep_id=_S, homology_cluster_id=_S)
-SPLIT = _struct(
-    protein_id=_S, genome_id=_S, split=_S, split_strategy=_S, split_version=_S, exact_sequence_rep_id=_S,
-    homology_cluster_id=_S,
-)
-EMBEDDING_INPUT = _struct(id=_S, sequence=_S)
-EMBEDDING_ROWS = _struct(
-    embedding_id=_S, shard_name=_S, row_index=_I, orig_seq_len=_I, effective_seq_len=_I, truncated_flag=_B,
-    embedding=T.ArrayType(T.FloatType()),
-)
 HINTS = _struct(
     exact_sequence_rep_id=_S, candidate_uniprot_accession=_S, candidate_afdb_entry_id=_S,
     candidate_bfvd_model_id=_S, candidate_viro3d_identifier=_S, candidate_viro3d_qualifier=_S,

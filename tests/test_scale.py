@@ -51,6 +51,11 @@ def test_size_checks(spark):
     assert checked_small(spark.range(5), 5).count() == 5
     with pytest.raises(ValueError):
         small_values(spark.range(20), "id", 10)
+    wide = spark.range(50).select(F.repeat(F.lit("x"), 10_000).alias("s"), F.array_repeat(F.lit(1.0), 10).alias("v"))
+    assert checked_small(wide, 100, 400_000) is None
+    assert checked_small(wide, 100, 600_000).count() == 50
+    odd = spark.createDataFrame([(None, None, None), ("é", [], {"k": 1})], "`a.b` string, v array<double>, m map<string,int>")
+    assert checked_small(odd).count() == 2 and checked_small(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("part", [[], ["k"]])
