@@ -25,7 +25,7 @@ HEADLINE = [
     "W07_shards",
     "M01_split_counts",
     "M03_exact_dedup",
-    "M04_near_duplicate_clusters_sketched",
+    "M04_near_duplicate_clusters",
     "M05_sampling_probability",
     "M05_balanced_draws",
     "M07_task_routing",

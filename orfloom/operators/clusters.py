@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from orfloom.session import cut_lineage
 
 PAIRS_PER_TASK = 5_000
 MAX_VERIFY_TASKS = 50_000
+CENTRE_ROUNDS = 2
+BLOCK_ROWS = 1_024
 
 
 def exact_dedup(df: DataFrame, key: str, seq: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -109,24 +113,18 @@ def near_duplicate_edges(
     key: str,
     seq: str,
     k: int = 12,
-    kmers_per_seq: int | None = 21,
     min_sim: float = 0.3,
     min_cov: float = 0.8,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(rep, member, similarity): verified links of each sequence to the centres of its k-mer groups.
 
-    Each sequence puts forward its ``kmers_per_seq`` smallest k-mer hashes (None: all). In every group of
-    equal k-mers the longest sequence is the centre, and members are compared with it only, so candidates
-    grow with the rows and not with their square, whatever the group size. A link holds when the shared
-    k-mers make up ``min_sim`` of both sequences and the lengths differ by at most ``min_cov``.
+    In every group of equal k-mers the longest sequence is the centre, and members are compared with it only. This
+    is the linear-size report of links to centres, not the whole link relation: ``near_dup_cluster`` has that.
+    A link holds when the shared k-mers make up ``min_sim`` of both sequences and the shorter length is at least
+    ``min_cov`` of the longer.
     """
-    texts = reps.select(F.col(key).alias("id"), F.col(seq).alias("text")).where(F.length(seq) > 0)
-    hashes = kmer_hashes(F.col("text"), k)
-    chosen = hashes if kmers_per_seq is None else F.slice(F.sort_array(hashes), 1, kmers_per_seq)
-    # Made before it is exploded, so that no copy of the text travels with each k-mer. The outer form keeps the
-    # optimizer from adding a filter on the array's size, which would hash every text a second time.
-    arrays = texts.select("id", F.length("text").alias("length"), chosen.alias("kmers"))
+    arrays = _kmer_arrays(reps, key, seq, k)
     sketch = cut_lineage(arrays.select("id", "length", F.explode_outer("kmers").alias("kmer")))
     centres = (
         sketch.groupBy("kmer")
@@ -134,25 +132,95 @@ def near_duplicate_edges(
         .where("n > 1")
         .select("kmer", F.col("c.id").alias("centre"), (-F.col("c.neg")).alias("centre_length"))
     )
-    pairs = (
+    pairs = cut_lineage(
         hot_split_join(sketch, centres, "kmer", "inner", hot_rows=hot_rows)
         .where((F.col("id") != F.col("centre")) & (F.col("length") >= F.col("centre_length") * min_cov))
-        .select("centre", "id")
+        .select(F.col("centre").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    pairs = cut_lineage(pairs)
-    members = pairs.join(texts, "id").repartition(_verify_tasks(pairs), "centre")
-    centre_texts = texts.select(F.col("id").alias("centre"), F.col("text").alias("centre_text"))
-    both = hot_split_join(members, centre_texts, "centre", "inner", hot_rows=hot_rows)
-    similarity = let(
-        kmer_hashes(F.col("text"), k),
-        lambda a: let(
-            kmer_hashes(F.col("centre_text"), k),
-            lambda b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)),
-        ),
+    return _linked(pairs, arrays, min_sim, hot_rows).select(F.col("a").alias("rep"), F.col("b").alias("member"), "similarity")
+
+
+def _kmer_arrays(reps: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """(id, length, kmers) of every sequence that is not empty, written once: texts are hashed a single time."""
+    texts = reps.select(F.col(key).alias("id"), F.col(seq).alias("text")).where(F.length(seq) > 0)
+    return cut_lineage(texts.select("id", F.length("text").alias("length"), kmer_hashes(F.col("text"), k).alias("kmers")))
+
+
+def _linked(pairs: DataFrame, arrays: DataFrame, min_sim: float, hot_rows: int) -> DataFrame:
+    """The written pairs (a, b) that share enough k-mers, with their similarity."""
+    first = arrays.select(F.col("id").alias("a"), F.col("kmers").alias("x"))
+    second = arrays.select(F.col("id").alias("b"), F.col("kmers").alias("y"))
+    members = hot_split_join(pairs, second, "b", "inner", hot_rows=hot_rows).repartition(_verify_tasks(pairs), "a", "b")
+    both = hot_split_join(members, first, "a", "inner", hot_rows=hot_rows, hot_from=pairs)
+    similarity = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
+    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= min_sim)
+
+
+def _prefix_rows(arrays: DataFrame, min_sim: float, hot_rows: int) -> DataFrame:
+    """(kmer, id, length, need): the k-mers by which sequences must meet, and how often they must.
+
+    Of two linked sequences with n k-mers each shares at least ``min_sim * n``, so in any common order of the k-mers
+    the two share ``need`` of their first ``n - ceil(min_sim * n) + need`` (the smaller ``need`` of both). The order is
+    rarest first: k-mers of a single sequence come first and need no row, and the commonest ones fall out.
+    """
+    sketch = cut_lineage(arrays.select("id", F.explode_outer("kmers").alias("kmer")))
+    shared = sketch.groupBy("kmer").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    met = hot_split_join(sketch, shared, "kmer", "inner", hot_rows=hot_rows)
+    ranked = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "kmer"))).alias("shared"))
+    n = F.size("kmers")
+    need = F.floor(n * min_sim / 6 - 1e-9) + 1
+    sized = arrays.select("id", "length", n.alias("n"), need.cast("int").alias("need"))
+    wanted = F.size("shared") - F.ceil(F.col("n") * min_sim - 1e-9) + F.col("need")
+    first = ranked.join(sized, "id").select(
+        "id", "length", "need", F.slice("shared", 1, F.greatest(wanted, F.lit(0)).cast("int")).alias("s")
     )
-    counted = both.select(F.col("centre").alias("rep"), F.col("id").alias("member"), similarity.alias("similarity"))
-    return counted.where(F.col("similarity") >= min_sim)
+    flat = first.select("id", "length", "need", F.explode_outer("s.kmer").alias("kmer")).where("kmer is not null")
+    return cut_lineage(flat)
+
+
+def _met_often(met: DataFrame, least: Column) -> DataFrame:
+    """The pairs (a, b) that meet in as many groups as linked ones must."""
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("need"))
+    return cut_lineage(counted.where("n >= need").select("a", "b"))
+
+
+def _centre_pairs(groups: DataFrame, banded: bool, min_cov: float, seed: int, hot_rows: int) -> DataFrame:
+    """(a, b): members of a k-mer group with one centre each, where their components and lengths allow a link.
+
+    ``banded`` groups hold sequences of one length band only, as wide as a link allows.
+    """
+    band = F.floor(F.log(F.col("length").cast("double")) / -math.log(min_cov)) if banded and min_cov < 1 else F.lit(0)
+    celled = groups.withColumn("cell", F.xxhash64("kmer", band))
+    centres = celled.groupBy("cell").agg(
+        F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id", "length", "comp", "need")).alias("c"),
+        F.min("comp").alias("low"), F.max("comp").alias("top"),
+    ).where("low < top").select(
+        "cell", F.col("c.id").alias("a"), F.col("c.length").alias("la"), F.col("c.comp").alias("ca"), F.col("c.need").alias("na")
+    )
+    met = hot_split_join(celled, centres, "cell", "inner", hot_rows=hot_rows).where("comp <> ca")
+    near = met.where(_lengths_allow("la", "length", min_cov)).select("a", F.col("id").alias("b"), "na", "need")
+    return _met_often(near, F.least("na", "need"))
+
+
+def _rest_pairs(groups: DataFrame, min_cov: float, block_rows: int) -> DataFrame:
+    """(a, b): the pairs of a k-mer group that are in different components, met block by block."""
+    blocks = groups.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "kmer")
+    left = dealt.select(
+        "kmer", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        F.col("id").alias("a"), F.col("length").alias("la"), F.col("comp").alias("ca"), F.col("need").alias("na"),
+    )
+    right = dealt.select(
+        "kmer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("id").alias("b"), F.col("length").alias("lb"), F.col("comp").alias("cb"), F.col("need").alias("nb"),
+    )
+    met = left.join(right, ["kmer", "block"]).where("a < b and ca <> cb")
+    return _met_often(met.where(_lengths_allow("la", "lb", min_cov)), F.least("na", "nb"))
+
+
+def _lengths_allow(a: str, b: str, min_cov: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * min_cov
 
 
 def _verify_tasks(pairs: DataFrame) -> int:
@@ -202,11 +270,40 @@ def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def near_dup_cluster(
-    df: DataFrame, key: str, seq: str, hot_rows: int = HOT_ROWS, **options
+    df: DataFrame,
+    key: str,
+    seq: str,
+    k: int = 12,
+    min_sim: float = 0.3,
+    min_cov: float = 0.8,
+    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(rep, member) pairs including each representative itself: components over the verified links."""
-    edges = near_duplicate_edges(df, key, seq, hot_rows=hot_rows, **options)
-    found = connected_components(
-        df.select(F.col(key).alias("id")), edges.select(F.col("rep").alias("a"), F.col("member").alias("b")), hot_rows
-    )
-    return found.select(F.col("component").alias("rep"), F.col("id").alias("member"))
+    """(rep, member) pairs including each representative itself: components over all links of ``df``.
+
+    Two sequences link when their shared k-mers make up ``min_sim`` of both and the shorter length is at least
+    ``min_cov`` of the longer. Every such pair shares a rare k-mer (``_prefix_rows``) and is either compared or already
+    connected: members of a k-mer group meet a centre of their length band, then a centre of the whole group (pairs that
+    meet too seldom wait), and what is left in different components is compared pair by pair. Null and empty sequences stay alone.
+    """
+    nodes = df.select(F.col(key).alias("id"))
+    arrays = _kmer_arrays(df, key, seq, k)
+    rows = _prefix_rows(arrays, min_sim, hot_rows)
+    groups, links = rows.withColumn("comp", F.col("id")), None
+    for turn in range(CENTRE_ROUNDS + 1):
+        if turn < CENTRE_ROUNDS:
+            pairs = _centre_pairs(groups, turn == 0, min_cov, turn, hot_rows)
+        else:
+            pairs = _rest_pairs(groups, min_cov, block_rows)
+        found = cut_lineage(_linked(pairs, arrays, min_sim, hot_rows).select("a", "b"))
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = cut_lineage(connected_components(nodes, links, hot_rows))
+        if turn == CENTRE_ROUNDS:
+            break
+        merged = rows.join(comps.withColumnRenamed("component", "comp"), "id")
+        mixed = merged.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top")
+        groups = cut_lineage(hot_split_join(merged, mixed.select("kmer"), "kmer", "inner", hot_rows=hot_rows, hot_from=rows))
+        if groups.isEmpty():
+            break
+    return comps.select(F.col("component").alias("rep"), F.col("id").alias("member"))

@@ -15,6 +15,9 @@ TABLES = (
     "conversations"
 ).split()
 
+#: Without a SQL twin; compared in tests/test_scale.py instead.
+TESTED_ELSEWHERE = {"X17_vector_clusters"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -46,7 +49,7 @@ def compare(spark, con, name: str, plan, sql: str | None, sf_dir: str) -> tuple[
     rows = df.collect()
     spent = time.time() - start
     if sql is None:
-        return True, f"rows={len(rows)} (no oracle) {spent:.2f}s"
+        return name in TESTED_ELSEWHERE, f"rows={len(rows)} (no oracle) {spent:.2f}s"
     start = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orfloom.operators import clusters, context, sampling, splits
+from orfloom.operators import clusters, context, review, sampling, splits
 from orfloom.operators.ordering import hash_position, ordered_prefix, with_neighbours
 from orfloom.operators.skew import checked_small, hot_split_join, lookup_join, small_values
 
@@ -141,16 +141,55 @@ def test_near_duplicate_links_against_brute_force(spark):
             if len(t) >= 0.8 * len(texts[c]) and len(a & b) / max(len(a), len(b)) >= 0.3:
                 want.add((c, i))
     for hot_rows in (3, 10**6):
-        full = clusters.near_duplicate_edges(docs, "id", "s", 6, None, hot_rows=hot_rows)
+        full = clusters.near_duplicate_edges(docs, "id", "s", 6, hot_rows=hot_rows)
         assert {(r.rep, r.member) for r in full.collect()} == want
-    sketched = clusters.near_duplicate_edges(docs, "id", "s", 6, 21)
-    found = {(r.rep, r.member): r.similarity for r in sketched.collect()}
-    for (c, i), similarity in found.items():
-        a, b = kmers(texts[i]), kmers(texts[c])
-        assert abs(similarity - len(a & b) / max(len(a), len(b))) < 1e-12
-    members = clusters.near_dup_cluster(docs, "id", "s", k=6, kmers_per_seq=21)
-    reps = {r.member: r.rep for r in members.collect()}
-    assert len(reps) == len(texts) and all(reps[rep] == rep for rep in reps.values())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, t in enumerate(texts):
+        for j in range(i):
+            a, b = kmers(t), kmers(texts[j])
+            if min(len(t), len(texts[j])) >= 0.8 * max(len(t), len(texts[j])) and len(a & b) / max(len(a), len(b)) >= 0.3:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    for hot_rows, block_rows in ((3, 2), (10**6, 1024)):
+        members = clusters.near_dup_cluster(docs, "id", "s", k=6, hot_rows=hot_rows, block_rows=block_rows)
+        assert {r.member: r.rep for r in members.collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_beside_a_longer_text_that_quotes_both(spark):
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+
+    a = text(200)
+    b = a[:100] + "W" + a[101:]
+    quoting = text(150) + a + text(150) + b + text(150)
+    # a chain of one-sided overlaps, a text of its own, an empty and a null one
+    long = text(400)
+    rows = [a, b, quoting, long[:200], long[100:300], long[200:], text(200), "", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id int, s string")
+    for block_rows in (1, 1024):
+        found = clusters.near_dup_cluster(docs, "id", "s", block_rows=block_rows)
+        assert {r.member: r.rep for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8}
+
+
+def test_vector_clusters_take_the_nearest_mean(spark):
+    rng = random.Random(2)
+    rows = [(i, [(i % 3 == d) * 10 + rng.gauss(0, 0.5) for d in range(3)]) for i in range(120)]
+    found = review.vector_clusters(spark.createDataFrame(rows, "id int, v array<double>"), "v", 3).collect()
+    members = defaultdict(list)
+    for r in found:
+        members[r.cluster].append(r.v)
+    means = {c: [sum(x) / len(vs) for x in zip(*vs)] for c, vs in members.items()}
+    for r in found:
+        assert r.cluster == min(means, key=lambda c: sum((x - y) ** 2 for x, y in zip(r.v, means[c])))
+    assert sorted(map(len, members.values())) == [40, 40, 40]
 
 
 def greedy_one_by_one(classes, rows, supervised, ratios, alpha):
