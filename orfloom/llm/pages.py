@@ -2,10 +2,11 @@
 
 A page becomes lines (text blocks) with a mark for their place. Within each host, pages are ordered by URL path; of
 the neighbours on both sides the one with the longest common path and other content is the partner. Both pages' lines
-are aligned by their longest common subsequence, and shared lines are deleted: they are the host's template. Inside
-the page's own article a shared line is deleted only if the page has it outside as well, so that lines and passages
-which articles share stay.
-What the markup itself names as menu, header, footer, sidebar, notice, advert, form or comments never counts.
+are aligned by their longest common subsequence, menus, adverts and footers too, and shared lines are deleted: they are
+the host's template. Markup guards the article: where a page has one, only its lines count, and a shared line in it is
+deleted only if the page has it outside as well (in its menu, say), so that lines and passages which articles share
+stay. A page without article and partner keeps what its markup does not name as menu, header, footer, sidebar,
+notice, advert, form or comments.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ REACH = 3
 
 # fixed values: element names and words of class, id and role
 SKIPPED = frozenset("script style noscript template nav header footer aside form svg iframe button select textarea head dialog menu object canvas".split())
+HARD = frozenset("script style noscript template svg iframe textarea head object canvas".split())  # no text of the page, whatever they hold
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol "
@@ -42,38 +44,49 @@ CLOSES_P = BLOCK - {"br", "body", "html"}
 WHITE = re.compile(r"\s+")
 
 
-class Lines(HTMLParser):
-    """(text, inside the article) of every block in page order; blocks under a skipped element are left out."""
+INSIDE, SKIPPED_LINE, FREED = 1, 2, 4  # bits of a block's place
+
+
+class Blocks(HTMLParser):
+    """(text, place) of every block in page order; text of skipped elements stands in blocks of its own."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, int]] = []
         self.text: list[str] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, skipped, article
+        self.beside: list[str] = []  # text of skipped elements
+        self.stack: list[tuple[str, int, bool]] = []  # name, place, no text at all
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
+    def _state(self) -> tuple[int, bool]:
+        return self.stack[-1][1:] if self.stack else (0, False)
 
     def _flush(self) -> None:
-        line = WHITE.sub(" ", "".join(self.text)).strip()
-        self.text.clear()
-        if line:
-            self.lines.append((line, self._state()[1]))
+        place = self._state()[0] & ~SKIPPED_LINE
+        for texts, mark in ((self.text, 0), (self.beside, SKIPPED_LINE)):
+            line = WHITE.sub(" ", "".join(texts)).strip()
+            texts.clear()
+            if line:
+                self.blocks.append((line, place | mark))
 
     def handle_starttag(self, tag, attrs):
-        skipped, article = self._state()
+        place, hard = self._state()
         if tag in CLOSES_P and any(name == "p" for name, *_ in self.stack):
             self.handle_endtag("p")
-            skipped, article = self._state()
+            place, hard = self._state()
         if tag in BLOCK or tag in SKIPPED:
             self._flush()
         if tag in VOID:
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        own = tag in ("article", "main") or (not article and any(k == "role" and v == "main" for k, v in attrs))
+        article = bool(place & INSIDE)
+        main = tag == "main" or any(k == "role" and v == "main" for k, v in attrs)
+        own = tag in ("article", "main") or (not article and main)
         # a header inside the article holds its own headline
         junk = (tag in SKIPPED and not (tag == "header" and article)) or bool(named and not own and tag not in ("body", "html") and JUNK.search(named))
-        self.stack.append((tag, skipped or junk, article or own))
+        if own and not article and place & SKIPPED_LINE and (main or not JUNK.search(named)):
+            # an article ends the skip of what stands around it, such as a form around the page
+            place = 0 if main else FREED
+        self.stack.append((tag, place | INSIDE * own | SKIPPED_LINE * junk, hard or tag in HARD))
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
@@ -84,12 +97,17 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self._state()[0]:
-            self.text.append(data)
+        place, hard = self._state()
+        if not hard:
+            (self.beside if place & SKIPPED_LINE else self.text).append(data)
 
 
-def page_lines(source: str | None) -> list[tuple[str, bool]]:
-    parser = Lines()
+def page_blocks(source: str | None) -> list[tuple[str, int]]:
+    """(text, place) of every block of the page, those under skipped elements too; place has INSIDE and SKIPPED_LINE.
+
+    An article under a skipped element counts only if the page has no other, else it is one more teaser.
+    """
+    parser = Blocks()
     try:
         parser.feed(source or "")
         parser.close()
@@ -98,7 +116,15 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
         parser.rawdata = ""
         parser.handle_data(html.unescape(rest))
     parser._flush()
-    return parser.lines
+    other = any(place & (INSIDE | SKIPPED_LINE | FREED) == INSIDE for _, place in parser.blocks)
+    return [
+        (line, (SKIPPED_LINE if other else place & ~FREED) if place & FREED else place) for line, place in parser.blocks
+    ]
+
+
+def page_lines(source: str | None) -> list[tuple[str, bool]]:
+    """(text, inside the article) of the blocks that markup alone leaves."""
+    return [(line, bool(place & INSIDE)) for line, place in page_blocks(source) if not place & SKIPPED_LINE]
 
 
 def line_marks(lines: list[str]) -> list[int]:
@@ -149,29 +175,35 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
-            rows = [page_lines(h) for h in part.column(3).to_pylist()]
+            rows = [page_blocks(h) for h in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), part.column(1), part.column(2),
                     pa.array([[line for line, _ in r] for r in rows], pa.list_(pa.string())),
-                    pa.array([[inside for _, inside in r] for r in rows], pa.list_(pa.bool_())),
+                    pa.array([[place for _, place in r] for r in rows], pa.list_(pa.int8())),
                     pa.array([line_marks([line for line, _ in r]) for r in rows], pa.list_(pa.int64())),
                 ],
-                ["row", "page_id", "url", "lines", "inside", "marks"],
+                ["row", "page_id", "url", "lines", "places", "marks"],
             )
 
 
+def kept_lines(lines: list[str], places: list[int], other: list[int] | None) -> list[str]:
+    """The page's main text: its lines without those shared with the partner, whose marks are ``other``."""
+    shared = shared_lines(line_marks(lines), other) if other else [False] * len(lines)
+    if any(place & (INSIDE | SKIPPED_LINE) == INSIDE for place in places):
+        outside = {line for line, place in zip(lines, places, strict=True) if not place & INSIDE}
+        return [
+            line for line, place, cut in zip(lines, places, shared, strict=True)
+            if place & (INSIDE | SKIPPED_LINE) == INSIDE and not (cut and line in outside)
+        ]
+    if other:
+        return [line for line, cut in zip(lines, shared, strict=True) if not cut]
+    return [line for line, place in zip(lines, places, strict=True) if not place & SKIPPED_LINE]
+
+
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for lines, inside, other in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
-            shared = shared_lines(line_marks(lines), other) if other else [False] * len(lines)
-            article = any(inside)
-            outside = {line for line, within in zip(lines, inside, strict=True) if not within}
-            texts.append("\n".join(
-                line for line, within, cut in zip(lines, inside, shared, strict=True)
-                if (within or not article) and not (cut and line in outside)
-            ))
+        texts = ["\n".join(kept_lines(*row)) for row in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -204,7 +236,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     lined = cut_lineage(
         named.mapInArrow(
             _line_rows,
-            "row long, page_id long, url string, lines array<string>, inside array<boolean>, marks array<long>",
+            "row long, page_id long, url string, lines array<string>, places array<byte>, marks array<long>",
         )
     )
     light = lined.select(
@@ -225,7 +257,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     others = lined.select(F.col("row").alias("partner"), F.col("marks").alias("other"))
     paired = partners.join(others, "partner").select("row", "other")
     joined = lined.drop("marks").join(paired, "row", "left")
-    out = joined.select("page_id", "url", "lines", "inside", "other").mapInArrow(
+    out = joined.select("page_id", "url", "lines", "places", "other").mapInArrow(
         _text_rows, "page_id long, url string, text string, n_chars long"
     )
     return out.withColumnsRenamed({"page_id": key, "url": url}) if (key, url) != ("page_id", "url") else out

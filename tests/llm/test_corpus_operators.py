@@ -194,6 +194,20 @@ def test_pages_differencing_and_edges(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_align_menus_and_guard_the_article(spark):
+    menu = "<nav><ul><li>Home</li><li>Contact us</li></ul></nav><div class='widget'>{0}</div>"
+    with_article = menu + "<article><p>Contact us</p><p>Same words</p><p>text {0}</p></article><footer>Rights</footer>"
+    without = "<form>" + menu + "<p>text {0}</p></form><footer>Rights</footer>"
+    rows = [(k, f"http://h.example/a/{k}", with_article.format(k)) for k in range(2)]
+    rows += [(k, f"http://o.example/a/{k}", without.format(k)) for k in range(2, 4)] + [(4, "http://alone.example/", menu.format(4) + "<p>text 4")]
+    rows += [(5, None, "<form><main><p>in main</p></main></form>"), (6, None, "<form><article>in form</article></form>")]
+    rows += [(7, None, "<aside><article>teaser</article></aside><article>own</article>"), (8, None, "<div class='comments'><article class='comment'>rude</article></div><p>own")]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(2)] == [f"Same words\ntext {k}" for k in range(2)]  # the menu's line goes, a shared passage stays
+    assert [got[k] for k in range(2, 4)] == [f"{k}\ntext {k}" for k in range(2, 4)]  # the LCS decides, not the names
+    assert [got[k] for k in range(4, 9)] == ["text 4", "in main", "in form", "own", "own"]
+
+
 def test_quotes_nested_reply_chain(spark):
     rows = [
         (1, 0, "a", "Hello there"), (1, 1, "b", "> hello  THERE\nMy answer"), (1, 2, "a", ">> hello there\n> My answer\nThanks"),
