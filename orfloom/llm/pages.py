@@ -1,7 +1,8 @@
 """Main text of web pages by differencing against the page with the nearest URL on the same host.
 
-A page becomes lines (text blocks) with a mark for their place. Within each host, pages are ordered by URL path; of
-the neighbours on both sides the one with the longest common path and other content is the partner. Both pages' lines
+A page becomes lines (text blocks) with a mark for their place. Within each host, pages are ordered by the segments of
+their URL path; of the nearest pages with other content on both sides the one with the longer common path is the
+partner, however many copies stand between. Both pages' lines
 are aligned by their longest common subsequence, menus, adverts and footers too, and shared lines are deleted: they are
 the host's template. Markup guards the article: where a page has one, only its lines count, and a shared line in it is
 deleted only if the page has it outside as well (in its menu, say), so that lines and passages which articles share
@@ -22,11 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orfloom.operators.ordering import with_neighbours
+from orfloom.operators.ordering import ordered_prefix, with_neighbours
+from orfloom.operators.skew import hot_split_join
 from orfloom.session import cut_lineage
 
-REACH = 3
-
 # fixed values: element names and words of class, id and role
 SKIPPED = frozenset("script style noscript template nav header footer aside form svg iframe button select textarea head dialog menu object canvas".split())
 HARD = frozenset("script style noscript template svg iframe textarea head object canvas".split())  # no text of the page, whatever they hold
@@ -211,22 +211,47 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _path(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    """Segments of the path: in their order no page between two others shares less of the path with either."""
+    return F.split(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), "/")
 
 
-def _common(a: Column, b: Column) -> Column:
+def _common(x: Column, y: Column) -> Column:
     """Leading path segments that two paths share."""
-    x, y = F.split(a, "/"), F.split(b, "/")
     n = F.least(F.size(x), F.size(y))
     differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(x, i - 1) != F.get(y, i - 1))
     return F.coalesce(F.get(differ, F.lit(0)) - 1, n)
 
 
+def _partners(light: DataFrame) -> DataFrame:
+    """(row, partner): the page with other content that shares most of the path, the earlier in path order if both do.
+
+    Copies at one path are one entry. Entries of a host with equal content in a row are a run, and the entries beside
+    the run are the nearest with other content for all of it.
+    """
+    pages = ["host", "path", "digest"]
+    entries = cut_lineage(light.groupBy(*pages).agg(F.min("row").alias("first")))
+    payload = {"path": F.col("path"), "digest": F.col("digest"), "first": F.col("first")}
+    near = with_neighbours(entries, ["host"], ["path", "first"], payload, 1)
+    other = [F.when(F.get("slots", F.lit(k))["digest"] != F.col("digest"), F.get("slots", F.lit(k))) for k in (0, 2)]
+    edged = near.select("host", "path", "digest", "first", other[0].alias("before"), other[1].alias("after"))
+    runs = ordered_prefix(edged, ["host"], ["path", "first"], totals={"run": F.col("before").isNotNull().cast("long")})
+    beside = runs.groupBy("host", "run").agg(
+        F.first("before", ignorenulls=True).alias("before"), F.first("after", ignorenulls=True).alias("after")
+    )
+    joined = hot_split_join(runs.drop("before", "after"), beside, ["host", "run"], "inner")
+    back, on = (
+        F.when(F.col(c).isNull(), -1).otherwise(_common(F.col(c)["path"], F.col("path"))) for c in ("before", "after")
+    )
+    chosen = joined.select(*pages, F.when(back >= on, F.col("before")["first"]).otherwise(F.col("after")["first"]).alias("partner"))
+    found = chosen.where("partner is not null")
+    return hot_split_join(light, found, pages, "inner").select("row", "partner")
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """A row per input row: ``key``, ``url``, ``text`` (blocks joined by line ends, empty if none), ``n_chars``.
 
     A null page is empty. A page without a URL, or alone on its host, or among copies of itself only, has no partner
-    and keeps what its markup allows. Ties between partners go to the nearer one in path order, then the earlier.
+    and keeps what its markup allows. Ties between partners go to the earlier one in path order.
     Repeated rows are pages of their own; other columns are ignored.
     """
     named = pages.select(
@@ -239,23 +264,15 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
             "row long, page_id long, url string, lines array<string>, places array<byte>, marks array<long>",
         )
     )
-    light = lined.select(
-        "row", F.xxhash64("marks").alias("digest"),
-        F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), _path(F.col("url")).alias("path"),
-    ).where("host <> ''")
-    payload = {"row": F.col("row"), "path": F.col("path"), "digest": F.col("digest")}
-    near = with_neighbours(light, ["host"], ["path", "row"], payload, REACH)
-    options = F.filter("slots", lambda s: s.isNotNull() & (s["digest"] != F.col("digest")))
-    ranked = F.transform(
-        options,
-        lambda s: F.struct(
-            _common(s["path"], F.col("path")).alias("common"), (-F.abs(s["row"] - F.col("row"))).alias("near"),
-            s["row"].alias("partner"),
-        ),
+    light = cut_lineage(
+        lined.select(
+            "row", F.xxhash64("marks").alias("digest"),
+            F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), _path(F.col("url")).alias("path"),
+        ).where("host <> ''")
     )
-    partners = near.select("row", F.array_max(ranked)["partner"].alias("partner")).where("partner is not null")
+    partners = cut_lineage(_partners(light))
     others = lined.select(F.col("row").alias("partner"), F.col("marks").alias("other"))
-    paired = partners.join(others, "partner").select("row", "other")
+    paired = hot_split_join(partners, others, "partner", "inner").select("row", "other")
     joined = lined.drop("marks").join(paired, "row", "left")
     out = joined.select("page_id", "url", "lines", "places", "other").mapInArrow(
         _text_rows, "page_id long, url string, text string, n_chars long"

@@ -208,6 +208,16 @@ def test_pages_align_menus_and_guard_the_article(spark):
     assert [got[k] for k in range(4, 9)] == ["text 4", "in main", "in form", "own", "own"]
 
 
+def test_pages_inner_copies_find_a_partner(spark):
+    body = "<body><div>Site name</div><div>{}</div><div>All rights</div></body>"
+    rows = [(k, f"http://h.example/a/p?v={k}", body.format("copy")) for k in range(40)]  # one path
+    rows += [(k, f"http://h.example/b/{k}", body.format("gone")) for k in range(100, 140)]  # one content, many paths
+    rows += [(50, "http://h.example/c/x", body.format("other")), (60, "http://only.example/a", body.format("x")), (61, "http://only.example/b", body.format("x"))]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(40)} == {"copy"} and {got[k] for k in range(100, 140)} == {"gone"} and got[50] == "other"
+    assert got[60] == got[61] == "Site name\nx\nAll rights"  # copies of itself only
+
+
 def test_quotes_nested_reply_chain(spark):
     rows = [
         (1, 0, "a", "Hello there"), (1, 1, "b", "> hello  THERE\nMy answer"), (1, 2, "a", ">> hello there\n> My answer\nThanks"),
