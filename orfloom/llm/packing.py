@@ -24,7 +24,6 @@ from orfloom.llm.tokens import encode_column, worker_pieces
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -55,23 +54,19 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
         score = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         cuts = np.searchsorted(doc, np.arange(n + 1))
-        # a query is the document's best-scoring terms
-        self.query = []
-        for d in range(n):
-            own = score[cuts[d] : cuts[d + 1]]
-            best = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if len(own) > QUERY_TERMS else np.arange(len(own))
-            self.query.append(term[cuts[d] + best])
+        # a query is all terms that the document shares with another
+        self.query = [term[cuts[d] : cuts[d + 1]] for d in range(n)]
         by_term = np.argsort(term, kind="stable")
         self.doc, self.score = doc[by_term], score[by_term]
         self.cuts = np.searchsorted(term[by_term], np.arange(width + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best first, ties by position."""
+        """Documents that share a term with the seed, best first, ties by position."""
         terms = self.query[seed]
         if not len(terms):
             return np.zeros(0, np.int64)
-        posts = np.concatenate([np.arange(self.cuts[t], self.cuts[t + 1]) for t in terms])
-        total = np.bincount(self.doc[posts], self.score[posts])
+        runs = [slice(a, b) for a, b in zip(self.cuts[terms].tolist(), self.cuts[terms + 1].tolist(), strict=True)]
+        total = np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.score[r] for r in runs]))
         found = np.flatnonzero(total)
         return found[np.argsort(-total[found], kind="stable")]
 

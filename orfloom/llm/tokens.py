@@ -2,12 +2,14 @@
 
 The vocabulary's split pattern is applied to all bytes of a slice with array operations; pieces are hashed, and
 only pieces that the task has not met are given to the encoder. Texts with characters outside ASCII and the
-letters U+00C0-U+00FF (where character classes are not plain from the bytes) are encoded whole by the encoder.
+letters U+00C0-U+00FF (where character classes are not plain from the bytes) are encoded whole by the encoder, and
+texts with an added token of the vocabulary (``<|endoftext|>``) by the tokenizer file itself, which gives it its own id.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 from itertools import chain
 
@@ -40,6 +42,32 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """(tokenizer, its added tokens as bytes) of the tokenizer file beside the rank file at ``path``."""
+    from tokenizers import Tokenizer
+
+    beside = path.removesuffix(".tiktoken") + ".json"
+    with open(beside, encoding="utf-8") as file:
+        added = [token["content"].encode() for token in json.load(file)["added_tokens"]]
+    return Tokenizer.from_file(beside), added
+
+
+def rows_with(data: np.ndarray, offsets: np.ndarray, needles: list[bytes]) -> set[int]:
+    """Rows in whose text one of the byte strings stands."""
+    raw, found = data.tobytes(), set()
+    for needle in needles:
+        at = raw.find(needle)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            if at + len(needle) <= offsets[row + 1]:
+                found.add(row)
+                at = raw.find(needle, int(offsets[row + 1]))
+            else:  # from the end of one text into the next
+                at = raw.find(needle, at + 1)
+    return found
+
+
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Start of every piece of the split pattern, for texts of plain characters."""
     n = len(data)
@@ -149,8 +177,13 @@ def encode_column(texts: pa.Array, pieces: Pieces):
         piece_cuts = np.searchsorted(starts, offsets)
         id_cuts = np.r_[0, np.cumsum(sizes)][piece_cuts]
         by_hand = set(odd_rows.tolist())
+        whole, added = tokenizer(pieces.path)
+        with_added = rows_with(data, offsets, added)
         for r in range(n):
-            if r in by_hand:
+            if r in with_added:
+                text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
+                own = np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif r in by_hand:
                 own = np.array(
                     encoder(pieces.path).encode_ordinary(data[offsets[r] : offsets[r + 1]].tobytes().decode()), np.uint32
                 )

@@ -176,6 +176,28 @@ def test_packing_round_trip(spark, docs, edge):
         assert all(n <= 2048 and n & (n - 1) == 0 for n in sequences.values())
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", "日本 <|endoftext|><|endoftext|>é", "x <|endof", "text|> y", None]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect() if r.start == 0}
+    for key, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[key].doc_tokens == len(ids)
+        assert got[key].ids_crc32 == zlib.crc32(ids[: got[key].length].tobytes())
+
+
+def test_packing_seeds_query_with_all_shared_terms():
+    seed = np.arange(101, dtype=np.uint64)
+    terms = [seed, seed[:100], *([seed[100:]] + [np.array([500 + k], np.uint64) for k in range(9)])]
+    assert packing.Shard(terms).neighbours(0).tolist() == [0, 1, 2]
+    many = [seed, *[seed[k : k + 1] for k in range(101)]]  # each neighbour shares another term
+    assert sorted(packing.Shard(many).neighbours(0).tolist()) == list(range(102))
+
+
 def test_page_lines_and_sharing():
     source = (
         "<html><head><title>x</title><style>p{}</style></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head</h1>"
