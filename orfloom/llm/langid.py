@@ -1,8 +1,9 @@
 """Language identification by cross-parsing: a text is parsed into the longest phrases that occur in a
 language's sample text (Ziv and Merhav, 1993), and the language that needs the fewest phrases wins.
 
-Each language's sample is indexed by a suffix automaton over lower-cased letters, and the automaton is laid out
-as a table, so that many stretches of text take a step at once. The sample is bounded (``SAMPLE_DOCS`` documents
+Each language's sample is indexed by a suffix automaton over all its lower-cased letters, and the automaton is laid out
+as a table of its own, so that many stretches of text take a step at once: (state, symbol) for a small alphabet, hashed
+steps for a large one. A sample is cut out of its document at a place drawn by the key. The sample is bounded (``SAMPLE_DOCS`` documents
 of each language, chosen by a digest of the key, ``SAMPLE_CHARS`` characters each); predictions read whole texts, in
 stretches of ``STRETCH`` characters that are parsed on their own and summed.
 """
@@ -20,17 +21,20 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 400
 STRETCH = 256
-SYMBOLS = 64
+DENSE = 128
 LANES = 1 << 13
 UNKNOWN = "und"
 
 
 def training_sample(docs: DataFrame, key: str, text: str, lang: str, usable: Column) -> list[tuple[str, str]]:
     """(language, sample text): at most SAMPLE_DOCS * SAMPLE_CHARS characters for each language."""
+    whole = F.col(text).cast("string")
+    # a stretch from anywhere in the text: openings that documents share must not teach the model
+    start = F.pmod(F.xxhash64(F.col(key), F.lit("start")), F.greatest(F.length(whole) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"),
         F.xxhash64(F.col(key)).alias("digest"),
-        F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("part"),
+        F.substr(whole, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"),
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "part"))
     chosen = rows.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS)
@@ -39,14 +43,11 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str, usable: Col
     return sorted((r["lang"], "\n".join(p["part"] for p in r["parts"])) for r in lists.toLocalIterator())
 
 
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """Transition table (state, symbol) of the suffix automaton of a sequence; -1 where a phrase must end."""
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Steps (symbol to state) of every state of the suffix automaton of a sequence; a phrase ends where none is."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
-        if c == 0:  # an unknown symbol separates: no phrase runs across it
-            last = 0
-            continue
         if c in follow[last] and length[follow[last][c]] == length[last] + 1:
             last = follow[last][c]
             continue
@@ -72,36 +73,90 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(follow), SYMBOLS), -1, np.int32)
-    for state, steps in enumerate(follow):
-        for c, to in steps.items():
-            table[state, c] = to
-    return table
+    return follow
+
+
+class Dense:
+    """Steps of an automaton as one table; an entry is twice the next state, plus one where a phrase has ended.
+
+    A missing step ends the phrase and starts the next one with the same symbol: the entry holds the state after that.
+    """
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        table = np.full((len(follow), symbols), -1, np.int64)
+        for state, steps in enumerate(follow):
+            for c, to in steps.items():
+                table[state, c] = to
+        on = np.where(table >= 0, table, np.maximum(table[0], 0)[None, :])
+        self.table = ((on * symbols) * 2 + (table < 0)).reshape(-1)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.table[state + codes]
+
+
+class Hashed:
+    """The same entries for an alphabet of any size: the steps that exist stand in a hash table."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        self.symbols = symbols
+        self.root = np.ones(symbols, np.int64)
+        for c, to in follow[0].items():
+            self.root[c] = to * 2 + 1
+        keys = np.array([s * symbols + c for s, steps in enumerate(follow) for c in steps], np.int64)
+        values = np.array([to * 2 for steps in follow for to in steps.values()], np.int64)
+        bits = max(1, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several keys for one slot the last one stays
+            put = self.keys[slot] == keys[left]
+            self.values[slot[put]] = values[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        keys = state * self.symbols + codes
+        slot = self._slots(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], self.root[codes])
+        on = np.flatnonzero((held != keys) & (held >= 0))
+        while len(on):  # the slot holds another key: look at the next one
+            slot[on] = (slot[on] + 1) & self.mask
+            held = self.keys[slot[on]]
+            hit = held == keys[on]
+            out[on[hit]] = self.values[slot[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
 
 
 class Model:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
         self.letter = np.zeros(0x110000, bool)
-        self.letter[[p for p in range(0x110000) if chr(p).isalpha()]] = True
-        lowered = [self.plain(np.frombuffer(s.lower().encode("utf-32-le", "surrogatepass"), "<u4"))[0] for _, s in samples]
-        seen, counts = np.unique(np.concatenate(lowered), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][: SYMBOLS - 1]
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[common] = np.arange(1, len(common) + 1)
-        for point in range(0x250):  # an upper-case character steps like its lower-case form
-            low = chr(point).lower()
-            if len(low) == 1:
-                self.code[point] = self.code[ord(low)]
-        tables = [automaton(self.code[x]) for x in lowered]
-        self.roots = np.cumsum([0] + [len(t) for t in tables[:-1]]) * SYMBOLS
-        # a missing step ends the phrase and starts the next one with the same symbol: the entry holds the state
-        # after that, and its lowest bit tells that a phrase has ended
-        flat = []
-        for t, root in zip(tables, self.roots, strict=True):
-            on = np.where(t >= 0, t, np.maximum(t[0], 0)[None, :])
-            flat.append((on.astype(np.int64) * SYMBOLS + root) * 2 + (t < 0))
-        self.table = np.concatenate(flat).reshape(-1)
+        self.lower = np.arange(0x110000, dtype=np.uint32)  # an upper-case character steps like its lower-case form
+        for point in range(0x110000):
+            char = chr(point)
+            self.letter[point] = char.isalpha()
+            low = char.lower()
+            if low != char and len(low) == 1:
+                self.lower[point] = ord(low)
+        lowered = [self.lower[self.plain(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"))[0]] for _, s in samples]
+        seen = np.unique(np.concatenate(lowered))
+        place = np.zeros(0x110000, np.int64)
+        place[seen] = np.arange(1, len(seen) + 1)
+        self.code = place[self.lower]
+        self.own, self.steps = [], []  # of each language: its symbols (0 for a character it does not have), its steps
+        for points in lowered:
+            letters = np.unique(points)
+            own = np.zeros(len(seen) + 1, np.int64)
+            own[place[letters]] = np.arange(1, len(letters) + 1)
+            symbols = len(letters) + 1
+            self.own.append(own)
+            self.steps.append((Dense if symbols <= DENSE else Hashed)(automaton(own[place[points]]), symbols))
 
     def plain(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters, and one blank for every run of other characters after a letter; and the places kept."""
@@ -111,18 +166,19 @@ class Model:
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases per (stretch, language); stretches are sorted from the longest to the shortest."""
-        n, k = len(starts), len(self.langs)
-        roots = self.roots.astype(np.int64)[:, None]
-        count, state = np.zeros((k, n), np.int64), np.repeat(roots, n, 1)
-        live = n
-        for step in range(int(sizes[0]) if n else 0):
-            while sizes[live - 1] <= step:
-                live -= 1
-            at = state[:, :live] + codes[starts[:live] + step]
-            entry = self.table[at]
-            count[:, :live] += entry & 1
-            np.right_shift(entry, 1, out=state[:, :live])
-        return count + (state != roots)
+        n = len(starts)
+        count = np.zeros((len(self.langs), n), np.int64)
+        for row, own, steps in zip(count, self.own, self.steps, strict=True):
+            state = np.zeros(n, np.int64)
+            symbols, live = own[codes], n
+            for step in range(int(sizes[0]) if n else 0):
+                while sizes[live - 1] <= step:
+                    live -= 1
+                entry = steps.step(state[:live], symbols[starts[:live] + step])
+                row[:live] += entry & 1
+                np.right_shift(entry, 1, out=state[:live])
+            row += state != 0
+        return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         raw = "\n".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass")

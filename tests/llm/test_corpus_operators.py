@@ -261,6 +261,33 @@ def test_language_held_out_accuracy(docs, edge):
     assert langid.predict_language(edge.limit(0)).count() == 0
 
 
+def test_language_of_many_scripts_and_shared_openings(spark):
+    rnd = random.Random(8)
+    spans = {"da": (0x61, 26), "nl": (0x61, 26), "el": (0x3B1, 17), "ru": (0x430, 32), "ja": (0x4E00, 300), "zh": (0x5000, 300), "ko": (0xAC00, 300)}
+    opening = "ein gemeinsamer anfang aller texte " * 20
+    rows = []
+    for lang, (first, n) in spans.items():
+        words = ["".join(chr(first + rnd.randrange(n)) for _ in range(4)) for _ in range(60)]
+        for _ in range(40):
+            rows.append((len(rows), lang, opening + " ".join(rnd.choice(words) for _ in range(400))))
+            rows.append((len(rows), lang, " ".join(rnd.choice(words) for _ in range(40)).upper()))
+    got = langid.predict_language(spark.createDataFrame(rows, "doc_id long, lang string, text string")).where("held_out").collect()
+    assert len(got) > 50 and all(r.lang_pred == rows[r.doc_id][1] for r in got)
+
+
+def test_language_tables_take_the_same_steps():
+    rnd = np.random.default_rng(6)
+    for symbols in (3, 40, 2000):
+        follow = langid.automaton(rnd.integers(1, symbols, 3000))
+        dense, hashed = langid.Dense(follow, symbols), langid.Hashed(follow, symbols)
+        state, codes = rnd.integers(0, len(follow), 20_000), rnd.integers(0, symbols, 20_000)
+        known = rnd.integers(0, len(follow), 5000)
+        state = np.r_[state, known]
+        codes = np.r_[codes, [next(iter(follow[s]), 0) for s in known.tolist()]]
+        a, b = dense.step(state * symbols, codes), hashed.step(state, codes)
+        assert ((a & 1) == (b & 1)).all() and ((a >> 1) // symbols == b >> 1).all()
+
+
 def repeats(words):
     spans = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     return len({i + k for i in range(len(words) - 7) if spans[tuple(words[i : i + 8])] > 1 for k in range(8)})
