@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orfloom.llm import langid, lattice, mixing, ngram_lm, packing, pages, partenum, quality, quotes, secrets
+from orfloom.llm import langid, lattice, linededup, merkle, mixing, ngram_lm, packing, pages, partenum, quality, quotes, recount, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_trie_lm_scores")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_line_dedup", linededup.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = {"text": merkle.without_breaks(F.col("doc_id"), F.col("text"))}
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.manifest(table(spark, sf_dir, "documents"), fields, shown=shown, proofs=False)
+
+
+@query("op13_source_divergence", recount.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recount.divergence_audit(table(spark, sf_dir, "documents"))
