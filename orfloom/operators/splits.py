@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,6 @@ from orfloom.operators.skew import lookup_join
 from orfloom.session import cut_lineage
 
 SPLITS = ("train", "val", "test")
-EXACT_TAIL = 256
 
 
 def unit_stats(df: DataFrame, unit: str, status: str = "status") -> DataFrame:
@@ -24,62 +26,78 @@ def unit_stats(df: DataFrame, unit: str, status: str = "status") -> DataFrame:
     )
 
 
+class Quotas:
+    """Greedy balancing over size classes (rows, supervised rows, units), largest first, in exact arithmetic.
+
+    A unit goes to the split with the largest remaining share of its target, ties to the first one. Units of a class are
+    interchangeable, and a split's score falls by the same step with each of them, so a class is a merge of one falling
+    progression for each split: the picks are those above a threshold, found by bisection over integers (all scores on one
+    common denominator), and those on it in the order of the splits.
+    """
+
+    def __init__(self, rows: int, supervised: int, ratios: tuple[float, ...], alpha: float = 0.5):
+        shares = [Fraction(str(r)) for r in ratios]
+        targets = [(max(rows * r, Fraction(1)), max(supervised * r, Fraction(1))) for r in shares]
+        weight = Fraction(str(alpha))
+        per_row = [1 / t for t, _ in targets]
+        per_supervised = [weight / s for _, s in targets]
+        scores = [rows * r / t + weight * (supervised * r / s) for r, (t, s) in zip(shares, targets, strict=True)]
+        unit = math.lcm(*[f.denominator for f in (*per_row, *per_supervised, *scores)])
+        self._row, self._supervised, self._scores = (
+            [int(f * unit) for f in values] for values in (per_row, per_supervised, scores)
+        )
+
+    def place(self, total: int, supervised: int, units: int) -> list[int]:
+        """How many of the next class's units go to each split; classes come in their order."""
+        steps = [total * r + supervised * s for r, s in zip(self._row, self._supervised, strict=True)]
+
+        def above(level: int) -> list[int]:
+            return [max(0, -((level - a) // d)) for a, d in zip(self._scores, steps, strict=True)]
+
+        if not any(steps):
+            return [units, *[0] * (len(steps) - 1)]
+        low = min(a - units * d for a, d in zip(self._scores, steps, strict=True)) - 1  # more than ``units`` are above
+        high = max(self._scores)  # none is
+        while high - low > 1:
+            middle = (low + high) // 2
+            if sum(above(middle)) > units:
+                low = middle
+            else:
+                high = middle
+        placed, upto = above(high), above(high - 1)
+        left = units - sum(placed)
+        for k, more in enumerate(upto):
+            give = min(left, more - placed[k])
+            placed[k] += give
+            left -= give
+        self._scores = [a - n * d for a, n, d in zip(self._scores, placed, steps, strict=True)]
+        return placed
+
+
+_QUOTAS = "total_count long, supervised_count long, n_train long, n_val long, n_test long"
+
+
 def class_quotas(
-    classes: Iterable[tuple[int, int, int]],
-    rows: int,
-    supervised: int,
-    ratios: tuple[float, float, float],
-    alpha: float = 0.5,
-) -> list[tuple[int, int, int, int, int]]:
-    """Greedy balancing over size classes (rows, supervised rows, units), largest first.
+    histogram: DataFrame, rows: int, supervised: int, ratios: tuple[float, float, float], alpha: float = 0.5
+) -> DataFrame:
+    """The quotas of every size class (total_count, supervised_count, units), a written table.
 
-    A unit goes to the split with the largest remaining share of its target. Units of a class are
-    interchangeable, so only how many go where is decided: the bulk of a large class is placed at once (scores
-    of a split fall by a constant step, so the picks are those above one threshold) and the tail one by one.
+    Each class starts from the shares that the larger ones left, so they pass in order through one task, as a sorted stream of
+    which one batch is held; a class is one row whatever its number of units.
     """
-    want = [(rows * r, supervised * r) for r in ratios]
-    have = [[0, 0] for _ in ratios]
-
-    def score(k: int) -> float:
-        (t, s), (ht, hs) = want[k], have[k]
-        return (t - ht) / max(t, 1.0) + alpha * ((s - hs) / max(s, 1.0))
-
-    out = []
-    for total, sup, units in classes:
-        placed = [0] * len(ratios)
-
-        def give(k: int, n: int) -> None:
-            placed[k] += n
-            have[k][0] += n * total
-            have[k][1] += n * sup
-
-        left = units
-        if left > 4 * EXACT_TAIL:
-            for k, n in enumerate(_bulk(left - EXACT_TAIL, total, sup, want, alpha, [score(k) for k in range(3)])):
-                give(k, n)
-                left -= n
-        for _ in range(left):
-            scores = [score(k) for k in range(len(ratios))]
-            give(scores.index(max(scores)), 1)
-        out.append((total, sup, *placed))
-    return out
-
-
-def _bulk(units: int, total: int, sup: int, want: list, alpha: float, scores: list[float]) -> list[int]:
-    """Picks per split among the first ``units`` or fewer, by bisection on the score threshold."""
-    steps = [total / max(t, 1.0) + alpha * (sup / max(s, 1.0)) for t, s in want]
-
-    def above(level: float) -> list[int]:
-        return [max(0, int((a - level) // d) + 1) if a > level else 0 for a, d in zip(scores, steps)]
-
-    low, high = min(a - units * d for a, d in zip(scores, steps)), max(scores)
-    for _ in range(200):
-        middle = (low + high) / 2
-        if sum(above(middle)) > units:
-            low = middle
-        else:
-            high = middle
-    return above(high)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quotas = Quotas(rows, supervised, ratios, alpha)
+        for pdf in batches:
+            classes = zip(*[pdf[c].tolist() for c in ("total_count", "supervised_count", "units")], strict=True)
+            placed = [quotas.place(*c) for c in classes]
+            out = pdf[["total_count", "supervised_count"]].copy()
+            for k, name in enumerate(SPLITS):
+                out[f"n_{name}"] = [p[k] for p in placed]
+            yield out
+
+    ordered = histogram.repartition(1).sortWithinPartitions(F.desc("total_count"), F.desc("supervised_count"))
+    return cut_lineage(ordered.mapInPandas(walk, _QUOTAS))
 
 
 def balanced_group_split(
@@ -94,18 +112,13 @@ def balanced_group_split(
 ) -> DataFrame:
     """Every row with its ``split``; all rows of a unit share it.
 
-    Only the histogram of unit sizes (one row per distinct pair of counts) reaches the driver, as a stream.
+    The quotas of the size classes and the units are tables; nothing but two sums reaches the driver.
     """
     check_ratios(*ratios)
     units = cut_lineage(unit_stats(df, unit, status))
     histogram = units.groupBy("total_count", "supervised_count").agg(F.count(F.lit(1)).alias("units"))
     totals = units.agg(F.sum("total_count"), F.sum("supervised_count")).first()
-    ordered = histogram.orderBy(F.desc("total_count"), F.desc("supervised_count"))
-    classes = ((r[0], r[1], r[2]) for r in ordered.toLocalIterator())
-    quotas = df.sparkSession.createDataFrame(
-        class_quotas(classes, totals[0] or 0, totals[1] or 0, ratios, alpha),
-        "total_count long, supervised_count long, n_train long, n_val long, n_test long",
-    )
+    quotas = class_quotas(histogram, totals[0] or 0, totals[1] or 0, ratios, alpha)
     digests = units.withColumn("__digest", hash_order(F.col(unit), seed))
     placed = lookup_join(
         hash_position(digests, ["total_count", "supervised_count"], "__digest", unit, "__pos"),

@@ -20,8 +20,9 @@ from orfloom.plans.registry import sql_strip
 from orfloom.session import cut_lineage, scratch_dir
 from orfloom.sources import tables as io
 
+# scores times 2 * rows * supervised * 210, so that whole numbers are compared
 GREEDY_SQL = f"""{UNITS_SQL}, ranked AS (SELECT *, row_number() OVER (ORDER BY total_count DESC, supervised_count DESC, o_custkey) AS rn FROM units),
-goal AS (SELECT CAST(sum(total_count) AS DOUBLE) AS t, CAST(sum(supervised_count) AS DOUBLE) AS s FROM units),
+goal AS (SELECT CAST(sum(total_count) AS HUGEINT) AS t, CAST(sum(supervised_count) AS HUGEINT) AS s FROM units),
 walk(rn, total_count, supervised_count, a0, b0, a1, b1, a2, b2, pick) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), -1
   UNION ALL
@@ -30,9 +31,9 @@ walk(rn, total_count, supervised_count, a0, b0, a1, b1, a2, b2, pick) AS (
     a2 + CASE WHEN p = 2 THEN tc ELSE 0 END, b2 + CASE WHEN p = 2 THEN sc ELSE 0 END, p
   FROM (SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS p FROM (
     SELECT r.rn, r.total_count AS tc, r.supervised_count AS sc, a0, b0, a1, b1, a2, b2,
-      (t * 0.7 - a0) / greatest(t * 0.7, 1.0) + 0.5 * ((s * 0.7 - b0) / greatest(s * 0.7, 1.0)) AS s0,
-      (t * 0.15 - a1) / greatest(t * 0.15, 1.0) + 0.5 * ((s * 0.15 - b1) / greatest(s * 0.15, 1.0)) AS s1,
-      (t * 0.15 - a2) / greatest(t * 0.15, 1.0) + 0.5 * ((s * 0.15 - b2) / greatest(s * 0.15, 1.0)) AS s2
+      3 * (2 * s * (70 * t - 100 * a0) + t * (70 * s - 100 * b0)) AS s0,
+      14 * (2 * s * (15 * t - 100 * a1) + t * (15 * s - 100 * b1)) AS s1,
+      14 * (2 * s * (15 * t - 100 * a2) + t * (15 * s - 100 * b2)) AS s2
     FROM walk w JOIN ranked r ON r.rn = w.rn + 1, goal)))"""
 
 
@@ -54,6 +55,23 @@ def _(spark, sf):
     return splits.split_summary(splits.balanced_group_split(order_rows(Tables(spark, sf)), "o_custkey"), "o_custkey")
 
 
+# every customer a unit of one row: a class of well over a thousand units, placed unit by unit in the SQL
+SINGLE_UNITS_SQL = GREEDY_SQL.replace(UNITS_SQL, """units AS (SELECT c_custkey AS o_custkey, count(*) AS total_count,
+  count(*) FILTER (WHERE c_acctbal > 0) AS supervised_count FROM customer GROUP BY 1)""")
+
+
+@query("M01_large_classes", f"""WITH RECURSIVE {SINGLE_UNITS_SQL}
+SELECT total_count, supervised_count, CASE pick WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, count(*) AS units
+FROM walk WHERE rn > 0 GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    status = F.when(F.col("c_acctbal") > 0, "known").otherwise("open_set").alias("status")
+    rows = splits.balanced_group_split(Tables(spark, sf).customer.select("c_custkey", status), "c_custkey")
+    units = rows.groupBy("c_custkey", "split").agg(
+        F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status") != "open_set").alias("supervised_count")
+    )
+    return units.groupBy("total_count", "supervised_count", "split").agg(F.count(F.lit(1)).alias("units"))
+
+
 @query("M02_random_group_split", """
 SELECT c_custkey, c_nationkey, CASE WHEN rn < floor(n * 0.7) THEN 'train' WHEN rn < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM customer
 JOIN (SELECT c_nationkey, row_number() OVER (ORDER BY md5('20260329|' || c_nationkey), c_nationkey) - 1 AS rn, count(*) OVER () AS n

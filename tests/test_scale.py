@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window
@@ -193,12 +194,13 @@ def test_vector_clusters_take_the_nearest_mean(spark):
 
 
 def greedy_one_by_one(classes, rows, supervised, ratios, alpha):
+    ratios = [Fraction(str(r)) for r in ratios]
     have, out = [[0, 0] for _ in ratios], []
     for total, sup, units in classes:
         placed = [0, 0, 0]
         for _ in range(units):
             scores = [
-                (rows * r - h[0]) / max(rows * r, 1.0) + alpha * ((supervised * r - h[1]) / max(supervised * r, 1.0))
+                (rows * r - h[0]) / max(rows * r, 1) + alpha * ((supervised * r - h[1]) / max(supervised * r, 1))
                 for r, h in zip(ratios, have)
             ]
             k = scores.index(max(scores))
@@ -209,15 +211,20 @@ def greedy_one_by_one(classes, rows, supervised, ratios, alpha):
     return out
 
 
-def test_class_quotas_match_unit_by_unit_placement():
-    classes = [(900, 400, 3), (50, 20, 4000), (7, 7, 9001), (7, 0, 5000), (1, 1, 20011), (1, 0, 33333)]
+@pytest.mark.parametrize("ratios", [(0.7, 0.15, 0.15), (0.5, 0.25, 0.25), (0.34, 0.33, 0.33), (1.0, 0.0, 0.0)])
+def test_class_quotas_equal_unit_by_unit_placement(spark, ratios):
+    classes = [(900, 400, 3), (50, 20, 400), (7, 7, 1500), (7, 0, 700), (3, 2, 1), (1, 1, 2011), (1, 0, 1333)]
     rows = sum(t * n for t, _, n in classes)
     supervised = sum(s * n for _, s, n in classes)
-    got = splits.class_quotas(classes, rows, supervised, (0.7, 0.15, 0.15))
-    want = greedy_one_by_one(classes, rows, supervised, (0.7, 0.15, 0.15), 0.5)
-    for g, w in zip(got, want):
-        assert g[:2] == w[:2] and sum(g[2:]) == sum(w[2:])
-        assert all(abs(a - b) <= 1 for a, b in zip(g[2:], w[2:]))  # equal scores may round differently
+    table = spark.createDataFrame(classes[::-1], "total_count long, supervised_count long, units long")
+    got = splits.class_quotas(table, rows, supervised, ratios)
+    assert sorted(map(tuple, got.collect())) == sorted(greedy_one_by_one(classes, rows, supervised, ratios, Fraction(1, 2)))
+
+
+def test_quotas_of_a_huge_class_are_exact():
+    quotas = splits.Quotas(10**15, 10**14, (0.7, 0.15, 0.15))
+    assert quotas.place(1, 0, 10**15 - 10**14) == [630_000_000_000_000, 135_000_000_000_000, 135_000_000_000_000]
+    assert sum(quotas.place(1, 1, 10**14)) == 10**14
 
 
 def test_balanced_split_is_a_partition_without_leaks(spark, skewed):
