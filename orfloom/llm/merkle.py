@@ -3,8 +3,8 @@
 Nodes are labelled by level and place, so a parent's label is larger than its children's. A priority queue ordered by
 label delivers the digests of children to their parent; a second sweep in the reversed order delivers to every child the siblings
 on its way up. The queue is external: leaves and the digests between blocks are messages that Spark's shuffle sorts by
-label, and a task holds the part of the queue that lies inside one block of 3^9 consecutive leaves. A pass raises the nodes of
-all groups by up to nine levels, so three passes reach the root of 7 * 10^12 leaves, and no group, source or level is ever
+label, and a task holds the part of the queue that lies inside one block of 3^7 consecutive leaves. A pass raises the nodes of
+all groups by up to seven levels, so four passes reach the root of 2 * 10^13 leaves, and no group, source or level is ever
 in one task. The passes are then swept in reverse, a row for each block, down to the leaves.
 """
 
@@ -22,7 +22,7 @@ from orfloom.operators.ordering import ordered_prefix
 from orfloom.session import cut_lineage
 
 FAN = 3
-LEVELS = 9  # of a pass: blocks of 3^9 = 19,683 nodes
+LEVELS = 7  # of a pass: blocks of 3^7 = 2,187 nodes
 
 STEPS = "array<struct<l:string,r:string>>"
 
@@ -112,14 +112,16 @@ def _left(count: Column) -> Column:
     return F.size(F.filter(powers, lambda p: p < count))
 
 
-def _raise(table: pa.Table) -> pa.Table:
-    rows = table.sort_by([("position", "ascending")])
-    group, block, left = (rows.column(c)[0].as_py() for c in ("grp", "block", "left"))
-    leaves = rows.column("digest").to_pylist()
-    digest, _ = raise_block(leaves, min(LEVELS, left))
-    return pa.table(
-        {"grp": [group], "position": [block], "digest": [digest], "left": [max(0, left - LEVELS)]}, schema=_NODES
-    )
+def _raise(levels: int):
+    def raised(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("position", "ascending")])
+        group, block, left = (rows.column(c)[0].as_py() for c in ("grp", "block", "left"))
+        digest, _ = raise_block(rows.column("digest").to_pylist(), min(levels, left))
+        return pa.table(
+            {"grp": [group], "position": [block], "digest": [digest], "left": [max(0, left - levels)]}, schema=_NODES
+        )
+
+    return raised
 
 
 _NODES = pa.schema([("grp", pa.int64()), ("position", pa.int64()), ("digest", pa.string()), ("left", pa.int32())])
@@ -128,48 +130,54 @@ _STEPS = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
 _SWEPT = pa.schema([("grp", pa.int64()), ("position", pa.int64()), ("steps", _STEPS)])
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("position") / F.lit(FAN**LEVELS)).cast("long"))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"position div {FAN**levels}"))
 
 
-def raise_passes(nodes: DataFrame) -> list[DataFrame]:
+def raise_passes(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """Written tables of nodes (grp, position, digest, left), from the given ones up to one node for each group.
 
     ``left`` is the number of levels to go, the same for all nodes of a group.
     """
     passes = [nodes]
     while not passes[-1].where("left > 0").isEmpty():
-        raised = _blocks(passes[-1]).groupBy("grp", "block").applyInArrow(_raise, NODES)
+        raised = _blocks(passes[-1], levels).groupBy("grp", "block").applyInArrow(_raise(levels), NODES)
         passes.append(cut_lineage(raised))
     return passes
 
 
-def _sweep(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    rows = nodes.sort_by([("position", "ascending")])
-    leaves, left = rows.column("digest").to_pylist(), rows.column("left")[0].as_py()
-    _, met = raise_block(leaves, min(LEVELS, left))
-    steps = sweep_block(len(leaves), met, above.column("steps")[0].as_py())
-    return pa.table({"grp": rows.column("grp"), "position": rows.column("position"), "steps": steps}, schema=_SWEPT)
+def _steps_of(rows: pa.Table, above: pa.Table, levels: int) -> list[list[dict]]:
+    """Steps to the root of the nodes of one block, in their order."""
+    leaves = rows.column("digest").to_pylist()
+    _, met = raise_block(leaves, min(levels, rows.column("left")[0].as_py()))
+    return sweep_block(len(leaves), met, above.column("steps")[0].as_py())
+
+
+def _sweep(levels: int):
+    def swept(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        rows = nodes.sort_by([("position", "ascending")])
+        steps = _steps_of(rows, above, levels)
+        return pa.table({"grp": rows.column("grp"), "position": rows.column("position"), "steps": steps}, schema=_SWEPT)
+
+    return swept
 
 
-def sweep_pass(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def sweep_pass(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """Steps to the root of all ``nodes``; ``above`` has those of their blocks (grp, position, steps)."""
     return (
-        _blocks(nodes).groupBy("grp", "block")
+        _blocks(nodes, levels).groupBy("grp", "block")
         .cogroup(above.select("grp", F.col("position").alias("block"), "steps").groupBy("grp", "block"))
-        .applyInArrow(_sweep, f"grp long, position long, steps {STEPS}")
+        .applyInArrow(_sweep(levels), f"grp long, position long, steps {STEPS}")
     )
 
 
-def _leaf_rows(root: str, proofs: bool):
+def _leaf_rows(root: str, proofs: bool, levels: int):
     fields = [(c, pa.string()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")]
     schema = pa.schema([("doc_id", pa.int64()), *fields, ("verified", pa.bool_()), *([("proof", _STEPS)] if proofs else [])])
 
     def rows(nodes: pa.Table, above: pa.Table) -> pa.Table:
         table = nodes.sort_by([("position", "ascending")])
-        leaves, left = table.column("digest").to_pylist(), table.column("left")[0].as_py()
-        _, met = raise_block(leaves, min(LEVELS, left))
-        steps = sweep_block(len(leaves), met, above.column("steps")[0].as_py())
+        leaves, steps = table.column("digest").to_pylist(), _steps_of(table, above, levels)
         folded = [fold(d, s) for d, s in zip(table.column("shown").to_pylist(), steps, strict=True)]
         n = len(leaves)
         return pa.table({
@@ -186,7 +194,7 @@ ROWS = "doc_id long, leaf string, subroot string, root string, proof_sha256 stri
 
 def manifest(
     docs: DataFrame, fields: list[str], key: str = "doc_id", group: str = "source", shown: dict[str, Column] | None = None,
-    proofs: bool = True,
+    proofs: bool = True, levels: int = LEVELS,
 ) -> DataFrame:
     """A row per input row: ``key``, ``leaf``, ``subroot``, ``root``, ``proof_sha256``, ``folded_root``, ``verified``
     and, with ``proofs``, ``proof`` itself: a step of left and right siblings for each level.
@@ -212,25 +220,25 @@ def manifest(
     named = leaves.join(groups, leaves.grp_name.eqNullSafe(groups.grp_name)).select(
         groups.grp, "position", "digest", _left(F.col("n")).alias("left"), "doc_id", "shown"
     )
-    passes = raise_passes(cut_lineage(named))
+    passes = raise_passes(cut_lineage(named), levels)
     subroots = passes[-1].select("grp", F.col("digest").alias("subroot"))
     top_nodes = passes[-1].select(
         F.lit(0).cast("long").alias("grp"), F.col("grp").alias("position"), "digest",
         F.lit(levels_above(tail + 1)).cast("int").alias("left"),
     )
-    top = raise_passes(top_nodes)
+    top = raise_passes(top_nodes, levels)
     root = top[-1].first()["digest"]
     steps = spark.createDataFrame([(0, 0, [])], f"grp long, position long, steps {STEPS}")
     for nodes in reversed(top[:-1]):
-        steps = cut_lineage(sweep_pass(nodes, steps))
+        steps = cut_lineage(sweep_pass(nodes, steps, levels))
     # the place of a subroot is its group's number; its group's topmost node has place 0
     steps = steps.select(F.col("position").alias("grp"), F.lit(0).cast("long").alias("position"), "steps")
     for nodes in reversed(passes[1:-1]):
-        steps = cut_lineage(sweep_pass(nodes, steps))
+        steps = cut_lineage(sweep_pass(nodes, steps, levels))
     above = steps.select("grp", F.col("position").alias("block"), "steps").join(subroots, "grp")
     rows = (
-        _blocks(passes[0]).groupBy("grp", "block").cogroup(above.groupBy("grp", "block"))
-        .applyInArrow(_leaf_rows(root, proofs), schema)
+        _blocks(passes[0], levels).groupBy("grp", "block").cogroup(above.groupBy("grp", "block"))
+        .applyInArrow(_leaf_rows(root, proofs, levels), schema)
     )
     return rows.withColumnRenamed("doc_id", key)
 

@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 from orfloom.llm.packed import pack_bytes, unpack_bytes
 from orfloom.llm.perfect import PerfectHash, build, pair_order, second_hashes
 from orfloom.llm.words import lower_ascii, mix, slices, span_hashes
+from orfloom.operators.skew import lookup_join
 from orfloom.session import cut_lineage
 
 LEAST = 10
 SCALE = 1_000_000_000
 TOP = 10
 SHARD_TERMS = 65_536
-ROUND_BYTES = 192 << 20
-FLUSH = 400_000
+ROUND_BYTES = 64 << 20
+FLUSH = 150_000
 SLOTS = 8_000_000  # dense counters of a task before they are handed on
 BLOCK = 128  # sources of a block of the pair table
 
@@ -132,20 +133,20 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
 
 # ---- shards --------------------------------------------------------------------------------------------------
 
-SHARD = "lang string, shard int, n long, perfect binary, terms array<string>"
+SHARD = "lang string, shard int, n long, perfect binary, letters binary, lengths binary"
 
 
 def _shard_of_terms(pdf: pd.DataFrame) -> pd.DataFrame:
     lang, shard = str(pdf["lang"].iloc[0]), int(pdf["shard"].iloc[0])
-    terms = sorted(pdf["term"], key=lambda t: t.encode())
-    raw = [t.encode() for t in terms]
+    raw = sorted(t.encode() for t in pdf["term"])
     h1, h2 = _hashes_of(raw, lang)
     mph = build(h1, h2)
-    slot = mph.slots(h1, h2)
-    placed = np.empty(len(terms), object)
-    placed[slot] = terms
+    placed = [b""] * len(raw)
+    for slot, term in zip(mph.slots(h1, h2).tolist(), raw, strict=True):
+        placed[slot] = term
+    lengths = pack_bytes(np.array([len(t) for t in placed], np.uint64))
     return pd.DataFrame({
-        "lang": [lang], "shard": [shard], "n": [len(terms)], "perfect": [mph.to_bytes()], "terms": [placed],
+        "lang": [lang], "shard": [shard], "n": [len(raw)], "perfect": [mph.to_bytes()], "letters": [b"".join(placed)], "lengths": [lengths],
     })
 
 
@@ -159,26 +160,31 @@ def _hashes_of(raw: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def term_shards(terms: DataFrame) -> DataFrame:
-    """A written row for each shard of a language's terms: its perfect hash, and the terms at their slots.
+def term_shards(terms: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """A written row for each shard of a language's terms: its perfect hash, and the terms' bytes in the order of their slots.
 
-    A language has as many shards as its terms need at ``SHARD_TERMS``, by a hash of the term.
+    A language has as many shards as its terms need at ``shard_terms``, by a hash of the term.
     """
     terms = cut_lineage(terms)
-    sizes = terms.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_TERMS)).cast("int").alias("shards"))
-    dealt = terms.join(sizes, "lang").select("lang", "term", F.pmod(F.xxhash64("term"), "shards").cast("int").alias("shard"))
-    return cut_lineage(dealt.groupBy("lang", "shard").applyInPandas(_shard_of_terms, SHARD))
+    sizes = terms.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_terms)).cast("int").alias("shards"))
+    dealt = lookup_join(terms, sizes, "lang", "inner").select(
+        "lang", "term", F.pmod(F.xxhash64("term"), "shards").cast("int").alias("shard")
+    )
+    return cut_lineage(dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInPandas(_shard_of_terms, SHARD))
 
 
 class Shard:
     """A perfect hash with the bytes of every term, for comparison."""
 
-    def __init__(self, perfect: bytes, terms: list[str]):
-        self.perfect = PerfectHash.from_bytes(perfect)
-        raw = [t.encode() for t in terms]
-        self.size, self.bytes = len(raw), np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8)
-        self.ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-        self.starts = np.r_[0, self.ends[:-1]].astype(np.int64)
+    def __init__(self, perfect: bytes, letters: bytes, lengths: bytes):
+        self.perfect, self.letters = PerfectHash.from_bytes(perfect), letters
+        self.bytes = np.frombuffer(letters + b"\0", np.uint8)
+        sizes = unpack_bytes(lengths).astype(np.int64)
+        self.size, self.ends = len(sizes), np.cumsum(sizes)
+        self.starts = self.ends - sizes
+
+    def terms(self) -> list[bytes]:
+        return [self.letters[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
     def find(self, terms: Terms, at: np.ndarray) -> np.ndarray:
         """Slot of each span, -1 where the stored term differs in any byte."""
@@ -204,8 +210,8 @@ _COUNTS = pa.schema([
 @functools.lru_cache(maxsize=1)
 def _loaded(shards: Broadcast) -> dict[str, list[tuple[int, Shard]]]:
     out: dict[str, list[tuple[int, Shard]]] = {}
-    for lang, shard, perfect, terms in shards.value:
-        out.setdefault(lang, []).append((shard, Shard(perfect, terms)))
+    for lang, shard, *stored in shards.value:
+        out.setdefault(lang, []).append((shard, Shard(*stored)))
     return out
 
 
@@ -281,7 +287,7 @@ def group_counts(docs: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BY
 
     The shards of a round, at most ``round_bytes`` together (or a single one), are the only thing broadcast.
     """
-    weight = F.octet_length("perfect") + F.aggregate("terms", F.lit(0), lambda a, t: a + F.octet_length(t) + F.lit(24))
+    weight = F.octet_length("perfect") + F.octet_length("letters") + F.col("n") * 16
     sizes = shards.select("lang", "shard", weight.alias("size")).orderBy("lang", "shard").collect()  # three values a shard
     rounds: list[list] = []
     held = round_bytes + 1
@@ -295,8 +301,8 @@ def group_counts(docs: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BY
     passes = []
     for names in rounds:
         wanted = spark.createDataFrame(names, "lang string, shard int")
-        own = shards.join(F.broadcast(wanted), ["lang", "shard"]).select("lang", "shard", "perfect", "terms").collect()
-        table = [(r["lang"], r["shard"], bytes(r["perfect"]), list(r["terms"])) for r in own]
+        own = shards.join(F.broadcast(wanted), ["lang", "shard"]).select("lang", "shard", "perfect", "letters", "lengths").collect()
+        table = [(r[0], r[1], bytes(r[2]), bytes(r[3]), bytes(r[4])) for r in own]
         passes.append(cut_lineage(docs.mapInArrow(_recount(spark.sparkContext.broadcast(table)), COUNTS)))
     if not passes:
         return spark.createDataFrame([], f"{COUNTS}, total long")
@@ -346,8 +352,9 @@ def _top_terms(counts: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     """The shard's best ``TOP`` terms of every group of a block of sources."""
     out = []
     if len(counts) and len(shard):
-        terms = np.array(list(shard["terms"].iloc[0]), object)
-        whole = _dense(shard.iloc[0], len(terms))
+        stored = shard.iloc[0]
+        terms = Shard(stored["perfect"], stored["letters"], stored["lengths"]).terms()
+        whole = _dense(stored, len(terms))
         q = shares(whole, int(shard["lang_total"].iloc[0]), int(shard["n_terms"].iloc[0]))
         for _, row in counts.iterrows():
             own = _dense(row, len(terms))
@@ -356,14 +363,14 @@ def _top_terms(counts: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
             use = np.flatnonzero((own > 0) & (p > q))
             if len(use) > TOP:  # ties with the last value stay
                 use = use[value[use] >= np.partition(value[use], len(use) - TOP)[len(use) - TOP]]
-            best = sorted(((-int(value[k]), terms[k].encode(), terms[k]) for k in use))[:TOP]
-            out += [(row["lang"], row["source"], term, -v) for v, _, term in best]
+            best = sorted((-int(value[k]), terms[k]) for k in use)[:TOP]
+            out += [(row["lang"], row["source"], term.decode(), -v) for v, term in best]
     return pd.DataFrame(out, columns=["lang", "source", "item", "value"]).astype({"value": np.int64})
 
 
 def divergence_audit(
     docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST,
-    round_bytes: int = ROUND_BYTES, block: int = BLOCK,
+    round_bytes: int = ROUND_BYTES, block: int = BLOCK, shard_terms: int = SHARD_TERMS,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): sources against each other, and the terms that mark each source.
 
@@ -374,7 +381,7 @@ def divergence_audit(
     """
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     groups = cut_lineage(named.select("lang", "source").distinct())
-    shards = term_shards(kept_terms(named, least))
+    shards = term_shards(kept_terms(named, least), shard_terms)
     counts = group_counts(named, shards, round_bytes)
     vocabulary = shards.groupBy("lang").agg(F.sum("n").alias("n_terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("total").alias("group_total"))
@@ -402,7 +409,7 @@ def _pairs(members: DataFrame, shards: DataFrame, counts: DataFrame) -> DataFram
         lambda o: F.struct(F.least(o, "block").alias("tile_a"), F.greatest(o, "block").alias("tile_b")),
     )
     tiled = own.select("lang", "source", "block", "n_terms", "group_total", F.explode(tiles).alias("t")).select("*", "t.*").drop("t")
-    each = tiled.join(shards.select("lang", "shard", "n"), "lang").join(
+    each = lookup_join(tiled, shards.select("lang", "shard", "n"), "lang", "inner").join(
         counts.select("lang", "source", "shard", "slots", "counts"), ["lang", "source", "shard"], "left"
     )
     sums = each.withColumnRenamed("n_terms", "terms").groupBy("lang", "shard", "tile_a", "tile_b").applyInPandas(
@@ -423,7 +430,7 @@ def _terms(members: DataFrame, shards: DataFrame, counts: DataFrame) -> DataFram
         lambda pdf: _merge(pdf.assign(source="")), f"{COUNTS}, total long"
     ).select("lang", "shard", "slots", "counts")
     langs = members.groupBy("lang").agg(F.sum("group_total").alias("lang_total"), F.max("n_terms").alias("n_terms"))
-    tables = shards.select("lang", "shard", "terms").join(whole, ["lang", "shard"]).join(langs, "lang")
+    tables = shards.select("lang", "shard", "perfect", "letters", "lengths").join(whole, ["lang", "shard"]).join(langs, "lang")
     blocks = members.select("lang", "block").distinct()
     own = counts.select("lang", "source", "shard", "slots", "counts").join(
         members.select("lang", "source", "block", "n_terms", "group_total"), ["lang", "source"]
