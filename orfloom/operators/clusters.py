@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orfloom.functions.arrays import let
+from orfloom.operators.kmers import prefix_rows, similarities
 from orfloom.operators.quality import duplicate_keys
 from orfloom.operators.skew import HOT_ROWS, hot_split_join, lookup_join
 from orfloom.session import cut_lineage
@@ -93,19 +96,16 @@ def duplicate_assignments(members: DataFrame, key: str) -> DataFrame:
     return duplicate_keys(members, [key])
 
 
-def kmer_hashes(seq: Column, k: int) -> Column:
-    """Distinct hashes of all length-``k`` pieces of the whole text; a shorter text is one piece.
+def _numbered(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """(id, num, text) of the sequences that are not empty, written once; the numbers are fixed by the write."""
+    texts = df.select(F.col(key).alias("id"), F.col(seq).cast("string").alias("text")).where(F.length("text") > 0)
+    return cut_lineage(texts.withColumn("num", F.monotonically_increasing_id()))
 
-    Pieces are cut from the fixed-width encoding, where a cut costs the same anywhere in the text.
-    """
-    last = F.greatest(F.length(seq) - F.lit(k), F.lit(0))
-
-    def pieces(wide: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(wide, i * 4 + 1, F.lit(4 * k)))
-        )
 
-    return F.array_distinct(let(F.encode(seq, "UTF-32"), pieces))
+def _prefix_groups(texts: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """``prefix_rows`` with the ids; a piece that is rare in one text's prefix but alone in all prefixes is left out later."""
+    rows = prefix_rows(texts, k, min_sim)
+    return cut_lineage(rows.join(texts.select("num", "id"), "num").drop("num"))
 
 
 def near_duplicate_edges(
@@ -116,129 +116,126 @@ def near_duplicate_edges(
     min_sim: float = 0.3,
     min_cov: float = 0.8,
     hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(rep, member, similarity): verified links of each sequence to the centres of its k-mer groups.
+    """(rep, member, similarity): all links between different rows of ``reps``, rep < member.
 
-    In every group of equal k-mers the longest sequence is the centre, and members are compared with it only. This
-    is the linear-size report of links to centres, not the whole link relation: ``near_dup_cluster`` has that.
-    A link holds when the shared k-mers make up ``min_sim`` of both sequences and the shorter length is at least
-    ``min_cov`` of the longer.
+    Meant for one representative for each text (``exact_dedup`` gives the members of a class, which share its links), so
+    that copies are never expanded into pairs. A link holds when the shared k-mers make up ``min_sim`` of both sequences and
+    the shorter length is at least ``min_cov`` of the longer.
     """
-    arrays = _kmer_arrays(reps, key, seq, k)
-    sketch = cut_lineage(arrays.select("id", "length", F.explode_outer("kmers").alias("kmer")))
-    centres = (
-        sketch.groupBy("kmer")
-        .agg(F.min(F.struct((-F.col("length")).alias("neg"), "id")).alias("c"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("kmer", F.col("c.id").alias("centre"), (-F.col("c.neg")).alias("centre_length"))
-    )
-    pairs = cut_lineage(
-        hot_split_join(sketch, centres, "kmer", "inner", hot_rows=hot_rows)
-        .where((F.col("id") != F.col("centre")) & (F.col("length") >= F.col("centre_length") * min_cov))
-        .select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    return _linked(pairs, arrays, min_sim, hot_rows).select(F.col("a").alias("rep"), F.col("b").alias("member"), "similarity")
+    texts = _numbered(reps, key, seq)
+    rows = _prefix_groups(texts, k, min_sim).withColumn("comp", F.col("id"))
+    pairs = _rest_pairs(rows, min_sim, min_cov, block_rows)
+    return _linked(pairs, texts, k, min_sim, hot_rows).select(F.col("a").alias("rep"), F.col("b").alias("member"), "similarity")
 
 
-def _kmer_arrays(reps: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """(id, length, kmers) of every sequence that is not empty, written once: texts are hashed a single time."""
-    texts = reps.select(F.col(key).alias("id"), F.col(seq).alias("text")).where(F.length(seq) > 0)
-    return cut_lineage(texts.select("id", F.length("text").alias("length"), kmer_hashes(F.col("text"), k).alias("kmers")))
-
-
-def _linked(pairs: DataFrame, arrays: DataFrame, min_sim: float, hot_rows: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, min_sim: float, hot_rows: int) -> DataFrame:
     """The written pairs (a, b) that share enough k-mers, with their similarity."""
-    first = arrays.select(F.col("id").alias("a"), F.col("kmers").alias("x"))
-    second = arrays.select(F.col("id").alias("b"), F.col("kmers").alias("y"))
-    members = hot_split_join(pairs, second, "b", "inner", hot_rows=hot_rows).repartition(_verify_tasks(pairs), "a", "b")
-    both = hot_split_join(members, first, "a", "inner", hot_rows=hot_rows, hot_from=pairs)
-    similarity = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= min_sim)
+    n = pairs.count()
+    usual = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, min(n // PAIRS_PER_TASK, MAX_VERIFY_TASKS))  # the work follows the pairs, not the bytes
+    first, second = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    members = hot_split_join(pairs, second, "b", "inner", hot_rows=hot_rows, rows=n).repartition(tasks, "a", "b")
+    both = hot_split_join(members, first, "a", "inner", hot_rows=hot_rows, hot_from=pairs, rows=n).select("a", "b", "x", "y")
+    kinds = {f.name: f.dataType for f in both.schema.fields}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in ("a", "b")] + [T.StructField("similarity", T.DoubleType())])
+    return both.mapInArrow(similarities(k), schema).where(F.col("similarity") >= min_sim)
 
 
-def _prefix_rows(arrays: DataFrame, min_sim: float, hot_rows: int) -> DataFrame:
-    """(kmer, id, length, need): the k-mers by which sequences must meet, and how often they must.
+def _met_often(met: DataFrame, min_sim: float) -> DataFrame:
+    """The pairs (a, b) that meet in as many groups as linked ones must and can still share enough.
 
-    Of two linked sequences with n k-mers each shares at least ``min_sim * n``, so in any common order of the k-mers
-    the two share ``need`` of their first ``n - ceil(min_sim * n) + need`` (the smaller ``need`` of both). The order is
-    rarest first: k-mers of a single sequence come first and need no row, and the commonest ones fall out.
+    After the last group in which two meet, each has so many pieces left; with those met they must reach the share.
     """
-    sketch = cut_lineage(arrays.select("id", F.explode_outer("kmers").alias("kmer")))
-    shared = sketch.groupBy("kmer").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    met = hot_split_join(sketch, shared, "kmer", "inner", hot_rows=hot_rows)
-    ranked = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "kmer"))).alias("shared"))
-    n = F.size("kmers")
-    need = F.floor(n * min_sim / 6 - 1e-9) + 1
-    sized = arrays.select("id", "length", n.alias("n"), need.cast("int").alias("need"))
-    wanted = F.size("shared") - F.ceil(F.col("n") * min_sim - 1e-9) + F.col("need")
-    first = ranked.join(sized, "id").select(
-        "id", "length", "need", F.slice("shared", 1, F.greatest(wanted, F.lit(0)).cast("int")).alias("s")
+    counted = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.least("na", "nb")).alias("need"), F.first("sa").alias("sa"), F.first("sb").alias("sb"),
+        F.max("pa").alias("pa"), F.max("pb").alias("pb"),
     )
-    flat = first.select("id", "length", "need", F.explode_outer("s.kmer").alias("kmer")).where("kmer is not null")
-    return cut_lineage(flat)
+    left = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1
+    enough = F.col("met") + left >= F.greatest("sa", "sb") * min_sim - 1e-9
+    return cut_lineage(counted.where((F.col("met") >= F.col("need")) & enough).select("a", "b"))
 
 
-def _met_often(met: DataFrame, least: Column) -> DataFrame:
-    """The pairs (a, b) that meet in as many groups as linked ones must."""
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("need"))
-    return cut_lineage(counted.where("n >= need").select("a", "b"))
+def _side(side: str) -> list[Column]:
+    """Columns of a group's row as one side of a pair."""
+    names = {"id": side, "length": f"l{side}", "comp": f"c{side}", "need": f"n{side}", "n": f"s{side}", "pos": f"p{side}"}
+    return [F.col(c).alias(n) for c, n in names.items()]
 
 
-def _centre_pairs(groups: DataFrame, banded: bool, min_cov: float, seed: int, hot_rows: int) -> DataFrame:
+def _centre_pairs(groups: DataFrame, banded: bool, min_sim: float, min_cov: float, seed: int, hot_rows: int) -> DataFrame:
     """(a, b): members of a k-mer group with one centre each, where their components and lengths allow a link.
 
     ``banded`` groups hold sequences of one length band only, as wide as a link allows.
     """
     band = F.floor(F.log(F.col("length").cast("double")) / -math.log(min_cov)) if banded and min_cov < 1 else F.lit(0)
     celled = groups.withColumn("cell", F.xxhash64("kmer", band))
-    centres = celled.groupBy("cell").agg(
-        F.min(F.struct(F.xxhash64("id", F.lit(seed)), "id", "length", "comp", "need")).alias("c"),
-        F.min("comp").alias("low"), F.max("comp").alias("top"),
-    ).where("low < top").select(
-        "cell", F.col("c.id").alias("a"), F.col("c.length").alias("la"), F.col("c.comp").alias("ca"), F.col("c.need").alias("na")
-    )
-    met = hot_split_join(celled, centres, "cell", "inner", hot_rows=hot_rows).where("comp <> ca")
-    near = met.where(_lengths_allow("la", "length", min_cov)).select("a", F.col("id").alias("b"), "na", "need")
-    return _met_often(near, F.least("na", "need"))
-
-
-def _rest_pairs(groups: DataFrame, min_cov: float, block_rows: int) -> DataFrame:
-    """(a, b): the pairs of a k-mer group that are in different components, met block by block."""
-    blocks = groups.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "kmer")
-    left = dealt.select(
-        "kmer", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
-        F.col("id").alias("a"), F.col("length").alias("la"), F.col("comp").alias("ca"), F.col("need").alias("na"),
-    )
-    right = dealt.select(
-        "kmer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.col("id").alias("b"), F.col("length").alias("lb"), F.col("comp").alias("cb"), F.col("need").alias("nb"),
-    )
-    met = left.join(right, ["kmer", "block"]).where("a < b and ca <> cb")
-    return _met_often(met.where(_lengths_allow("la", "lb", min_cov)), F.least("na", "nb"))
+    row = F.struct(F.xxhash64("id", F.lit(seed)).alias("order"), "id", "length", "comp", "need", "n", "pos")
+    centres = celled.groupBy("cell").agg(F.min(row).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+    centres = centres.where("low < top").select("cell", "c.*").select("cell", *_side("a"))
+    members = celled.select("cell", *_side("b"))
+    met = hot_split_join(members, centres, "cell", "inner", hot_rows=hot_rows, rows=groups.count()).where("ca <> cb")
+    return _met_often(met.where(_lengths_allow("la", "lb", min_cov)), min_sim)
+
+
+def _rest_pairs(groups: DataFrame, min_sim: float, min_cov: float, block_rows: int) -> DataFrame:
+    """(a, b), a < b: the pairs of a k-mer group that are in different components.
+
+    A group is dealt to blocks of about ``block_rows`` rows, and every pair of blocks is a key of its own, so no key
+    gathers more than two blocks on either side of the join.
+    """
+    sizes = groups.groupBy("kmer").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    dealt = groups.join(sizes.where("rows > 1"), "kmer").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = dealt.select("kmer", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), *_side("a"))
+    right = dealt.select("kmer", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), *_side("b"))
+    met = left.join(right, ["kmer", "lo", "hi"]).where("(lo < hi and a <> b or a < b) and ca <> cb")
+    swapped = F.col("a") > F.col("b")
+    ordered = met.where(_lengths_allow("la", "lb", min_cov)).select(*[
+        F.when(swapped, F.col(f"{p}{y}")).otherwise(F.col(f"{p}{x}")).alias(f"{p}{x}")
+        for p in ("", "n", "s", "p") for x, y in (("a", "b"), ("b", "a"))
+    ])
+    return _met_often(ordered, min_sim)
 
 
 def _lengths_allow(a: str, b: str, min_cov: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * min_cov
 
 
-def _verify_tasks(pairs: DataFrame) -> int:
-    """Tasks for comparing texts: the work follows the number of pairs, not the bytes that adaptive sizing sees."""
-    usual = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(usual, min(pairs.count() // PAIRS_PER_TASK, MAX_VERIFY_TASKS))
+def _task_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of one task as stars: every id it has seen with the smallest one it is connected to there."""
+    parent: dict = {}
+
+    def top(x):
+        while (up := parent[x]) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            u, v = top(u), top(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    if schema is not None:
+        stars = [(x, top(x)) for x in parent]
+        stars = [(x, r) for x, r in stars if x != r]
+        columns = [pa.array([s[k] for s in stars], schema.field(k).type) for k in (0, 1)]
+        yield from pa.table(columns, names=["u", "v"]).to_batches()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component): component is the smallest id reachable over the edges.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each round links every node to
-    the smallest node of its neighbourhood, and the rounds needed grow with the logarithm of the size.
-    Every round is written out, so that the plan does not grow.
+    Every task first turns its own links into stars, so that few rounds are left. The rounds alternate the large-star and
+    small-star steps of Kiveris et al. (2014): each links every node to the smallest node of its neighbourhood, and the rounds
+    needed grow with the logarithm of the size. Every round is written out, so that the plan does not grow.
     """
-    links = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    links = cut_lineage(pairs.mapInArrow(_task_stars, pairs.schema))
     before = None
     while True:
         now = links.agg(
@@ -247,23 +244,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT
         if now == before or now[0] == 0:
             break
         before = now
-        links = cut_lineage(_small_star(cut_lineage(_large_star(links, hot_rows)), hot_rows))
+        large = cut_lineage(_large_star(links, hot_rows, 2 * now[0]))
+        links = cut_lineage(_small_star(large, hot_rows, 2 * now[0]))
     stars = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     joined = nodes.select("id").join(stars, "id", "left")
     return joined.select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(links: DataFrame, hot_rows: int, rows: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = hot_split_join(both, lowest, "u", "inner", hot_rows=hot_rows).where("v > u")
+    joined = hot_split_join(both, lowest, "u", "inner", hot_rows=hot_rows, rows=rows).where("v > u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(links: DataFrame, hot_rows: int, rows: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = hot_split_join(down, lowest, "u", "inner", hot_rows=hot_rows)
+    joined = hot_split_join(down, lowest, "u", "inner", hot_rows=hot_rows, rows=rows)
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = lowest.select("u", F.col("m").alias("v"))
     return moved.unionByName(kept).where("u <> v").distinct()
@@ -282,20 +280,20 @@ def near_dup_cluster(
     """(rep, member) pairs including each representative itself: components over all links of ``df``.
 
     Two sequences link when their shared k-mers make up ``min_sim`` of both and the shorter length is at least
-    ``min_cov`` of the longer. Every such pair shares a rare k-mer (``_prefix_rows``) and is either compared or already
+    ``min_cov`` of the longer. Every such pair shares a rare k-mer (``prefix_rows``) and is either compared or already
     connected: members of a k-mer group meet a centre of their length band, then a centre of the whole group (pairs that
     meet too seldom wait), and what is left in different components is compared pair by pair. Null and empty sequences stay alone.
     """
     nodes = df.select(F.col(key).alias("id"))
-    arrays = _kmer_arrays(df, key, seq, k)
-    rows = _prefix_rows(arrays, min_sim, hot_rows)
+    texts = _numbered(df, key, seq)
+    rows = _prefix_groups(texts, k, min_sim)
     groups, links = rows.withColumn("comp", F.col("id")), None
     for turn in range(CENTRE_ROUNDS + 1):
         if turn < CENTRE_ROUNDS:
-            pairs = _centre_pairs(groups, turn == 0, min_cov, turn, hot_rows)
+            pairs = _centre_pairs(groups, turn == 0, min_sim, min_cov, turn, hot_rows)
         else:
-            pairs = _rest_pairs(groups, min_cov, block_rows)
-        found = cut_lineage(_linked(pairs, arrays, min_sim, hot_rows).select("a", "b"))
+            pairs = _rest_pairs(groups, min_sim, min_cov, block_rows)
+        found = cut_lineage(_linked(pairs, texts, k, min_sim, hot_rows).select("a", "b"))
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = cut_lineage(connected_components(nodes, links, hot_rows))
@@ -303,7 +301,7 @@ def near_dup_cluster(
             break
         merged = rows.join(comps.withColumnRenamed("component", "comp"), "id")
         mixed = merged.groupBy("kmer").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top")
-        groups = cut_lineage(hot_split_join(merged, mixed.select("kmer"), "kmer", "inner", hot_rows=hot_rows, hot_from=rows))
+        groups = cut_lineage(hot_split_join(merged, mixed.select("kmer"), "kmer", "inner", hot_rows=hot_rows, hot_from=rows, rows=rows.count()))
         if groups.isEmpty():
             break
     return comps.select(F.col("component").alias("rep"), F.col("id").alias("member"))

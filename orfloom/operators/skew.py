@@ -137,13 +137,17 @@ def hot_split_join(
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
     hot_from: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Shuffle join for ordinary keys, broadcast of the lookup rows of the few hot keys.
 
-    ``hot_from`` is a table with the same keys that is cheaper to count, such as a written one.
+    ``hot_from`` is a table with the same keys that is cheaper to count, such as a written one. ``rows`` is the number of
+    facts, if the caller knows it: keys are not counted where no key can be hot.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    hot, hot_lookup = _hot_part(facts if hot_from is None else hot_from, lookup, keys, null_safe, hot_rows)
+    hot = hot_lookup = None
+    if rows is None or rows > hot_rows:
+        hot, hot_lookup = _hot_part(facts if hot_from is None else hot_from, lookup, keys, null_safe, hot_rows)
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     unmatched = None
     if not null_safe:

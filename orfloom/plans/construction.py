@@ -89,16 +89,10 @@ def _(spark, sf):
 KMER_SQL = """texts AS (SELECT min(doc_id) AS id, text, length(text) AS L FROM documents WHERE length(text) > 0 GROUP BY text),
 kmers AS (SELECT DISTINCT id, L, substring(text, CAST(i AS BIGINT) + 1, 12) AS kmer FROM (SELECT id, text, L, unnest(range(0, greatest(L - 12, 0) + 1)) AS i FROM texts)),
 sizes AS (SELECT id, count(*) AS n FROM kmers GROUP BY 1)"""
-CENTRES_SQL = f"""{KMER_SQL},
-centres AS (SELECT kmer, arg_min(id, (-L, id)) AS centre, max(L) AS centre_length FROM kmers GROUP BY 1 HAVING count(*) > 1),
-pairs AS (SELECT DISTINCT centre, id FROM kmers JOIN centres USING (kmer) WHERE id <> centre AND L >= centre_length * 0.8),
-shared AS (SELECT centre, p.id, count(*) AS s FROM pairs p JOIN kmers a ON a.id = p.id JOIN kmers b ON b.id = p.centre AND b.kmer = a.kmer GROUP BY 1, 2),
-links AS (SELECT centre AS rep, s.id AS member, s / greatest(x.n, y.n) AS similarity FROM shared s JOIN sizes x ON x.id = s.id JOIN sizes y ON y.id = s.centre
-  WHERE s / greatest(x.n, y.n) >= 0.3)"""
 ALL_PAIRS_SQL = f"""{KMER_SQL},
 shared AS (SELECT a.id AS rep, b.id AS member, count(*) AS s FROM kmers a JOIN kmers b ON a.kmer = b.kmer AND a.id < b.id
   WHERE least(a.L, b.L) >= greatest(a.L, b.L) * 0.8 GROUP BY 1, 2),
-links AS (SELECT rep, member FROM shared JOIN sizes x ON x.id = rep JOIN sizes y ON y.id = member WHERE s / greatest(x.n, y.n) >= 0.3)"""
+links AS (SELECT rep, member, s / greatest(x.n, y.n) AS similarity FROM shared JOIN sizes x ON x.id = rep JOIN sizes y ON y.id = member WHERE s / greatest(x.n, y.n) >= 0.3)"""
 
 
 def representatives(t: Tables):
@@ -107,7 +101,7 @@ def representatives(t: Tables):
     return t.documents.select("doc_id", "text").join(reps, "doc_id", "left_semi")
 
 
-@query("M04_near_duplicate_links", f"WITH {CENTRES_SQL} SELECT rep, member, round(similarity, 9) AS similarity FROM links")
+@query("M04_near_duplicate_links", f"WITH {ALL_PAIRS_SQL} SELECT rep, member, round(similarity, 9) AS similarity FROM links")
 def _(spark, sf):
     links = clusters.near_duplicate_edges(representatives(Tables(spark, sf)), "doc_id", "text")
     return links.withColumn("similarity", F.round("similarity", 9))

@@ -131,19 +131,15 @@ def test_near_duplicate_links_against_brute_force(spark):
     def kmers(t):
         return {t[i:i + 6] for i in range(max(len(t) - 6, 0) + 1)}
 
-    centre = {}
+    want = {}
     for i, t in enumerate(texts):
-        for kmer in kmers(t):
-            centre[kmer] = min(centre.get(kmer, (0, 10**9)), (-len(t), i))
-    want = set()
-    for i, t in enumerate(texts):
-        for c in {centre[kmer][1] for kmer in kmers(t)} - {i}:
-            a, b = kmers(t), kmers(texts[c])
-            if len(t) >= 0.8 * len(texts[c]) and len(a & b) / max(len(a), len(b)) >= 0.3:
-                want.add((c, i))
-    for hot_rows in (3, 10**6):
-        full = clusters.near_duplicate_edges(docs, "id", "s", 6, hot_rows=hot_rows)
-        assert {(r.rep, r.member) for r in full.collect()} == want
+        for j in range(i):
+            a, b = kmers(t), kmers(texts[j])
+            if min(len(t), len(texts[j])) >= 0.8 * max(len(t), len(texts[j])) and len(a & b) / max(len(a), len(b)) >= 0.3:
+                want[j, i] = round(len(a & b) / max(len(a), len(b)), 9)
+    for hot_rows, block_rows in ((3, 2), (10**6, 1024)):
+        full = clusters.near_duplicate_edges(docs, "id", "s", 6, hot_rows=hot_rows, block_rows=block_rows)
+        assert {(r.rep, r.member): round(r.similarity, 9) for r in full.collect()} == want
     parent = list(range(len(texts)))
 
     def find(x):
@@ -162,6 +158,25 @@ def test_near_duplicate_links_against_brute_force(spark):
         assert {r.member: r.rep for r in members.collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_frequent_pieces_are_known_to_all_tasks(spark):
+    """A third of all texts are near copies: their pieces are beyond the hot limit of every shard, and nothing is lost."""
+    rng = random.Random(6)
+
+    def text(n):
+        return "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+
+    base = text(300)
+    copies = [base[:k] + "--" + base[k + 2 :] for k in range(0, 280)]
+    rows = copies + [text(250) for _ in range(300)] + [text(40)[: k % 7] for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id int, s string")
+    found = {r.member: r.rep for r in clusters.near_dup_cluster(docs, "id", "s", k=8, block_rows=50).collect()}
+    assert all(found[i] == 0 for i in range(len(copies)))
+    short = {}
+    for i, t in enumerate(rows[len(copies) :], len(copies)):
+        assert found[i] == (short.setdefault(t, i) if t else i)
+    assert clusters.near_dup_cluster(docs.limit(0), "id", "s").count() == 0
+
+
 def test_near_duplicates_beside_a_longer_text_that_quotes_both(spark):
     rng = random.Random(8)
 
