@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfloom.llm import mixing, packing, partenum, quality, secrets
+from orfloom.operators.skew import lookup_join
 from orfloom.session import cut_lineage
 
 
@@ -20,29 +21,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: the one with the smallest id; rows without an id stay."""
-    found = cut_lineage(partenum.jaccard_components(docs))
-    first = found.where("doc_id = component_id").select("doc_id")
-    again = cut_lineage(first.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    stay = docs.join(first.distinct(), "doc_id", "left_semi")
-    if not again.isEmpty():
-        stay = stay.join(again, "doc_id", "left_anti").unionByName(
-            stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        )
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of linked texts, the one with the smallest id (null last).
+
+    A document is an id with its text: other texts under the same id, or without an id, are documents of their own and
+    stay unless they are near-duplicates themselves. Of rows with equal id and text one stays. Null and empty texts link with nothing.
+    """
+    key = "key"
+    while key in docs.columns:
+        key += "_"
+    again = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    if again.isEmpty():
+        found = cut_lineage(partenum.jaccard_components(docs))
+        return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # ids that several rows share give way to a hash of id and text
+    marked = lookup_join(docs, again.withColumn(key, F.lit(True)), "doc_id", "left", null_safe=True)
+    own = F.when(F.col(key), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = marked.withColumn(key, own)
+    found = cut_lineage(partenum.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text")))
+    ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
+    stay = found.join(ids, F.col("doc_id") == F.col("k")).groupBy("component_id").agg(F.min(order)["k"].alias(key)).select(key)
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced; ``n_chars`` follows the text."""
+    """All documents, secrets replaced; ``n_chars`` follows the text. A null text stays null."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with the calibrated probability of their source, language and topic."""
+    """Documents drawn with the calibrated probability of their source, language and topic; a null one is a value of its own."""
     return mixing.calibrated(docs).where("sampled").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their places in the sequences; a null text is its end token alone."""
     return packing.pack(docs)
 
 

@@ -372,3 +372,72 @@ def test_pipeline_stages(spark, docs):
         if name == "secret_scan":
             assert now.count() == before.count() and not any(base_spans(t) for _, t in rows)
     assert packing.pack(now).count() > 0
+
+
+def distance(p, q):
+    def half(a, b):
+        return sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+
+    return math.sqrt(max((half(p, q) + half(q, p)) / 2, 0.0))
+
+
+def test_quality_verdicts_equal_brute_force(docs):
+    """Both distances and ``kept`` from plain counting: class sums and the twelve commonest words of each language."""
+    marks = ["[A-Z\u00C0-\u00DE]", "[0-9]", "[.,;:!?'\"()\\-]", "[#*$%&|<>]"]
+
+    def classes(text):
+        counts = [len(re.findall(m, text)) for m in marks]
+        solid = sum(map(len, WORD.findall(text)))
+        return [*counts, len(text) - solid, solid - sum(counts)]
+
+    rows = [(r.doc_id, r.text or "", r.lang or "") for r in docs.collect()]
+    sums, words = {}, {}
+    for _, text, lang in rows:
+        old = sums.setdefault(lang, [0] * 6)
+        sums[lang] = [a + b for a, b in zip(old, classes(text), strict=True)]
+        words.setdefault(lang, Counter()).update(WORD.findall(text))
+    got = {r.doc_id: r for r in quality.measured(docs).collect()}
+    for i, text, lang in rows:
+        own, r = WORD.findall(text), got[i]
+        if len(own) < quality.MIN_WORDS:
+            assert r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed)
+            continue
+        whole = words[lang]
+        common = whole.most_common(12)
+        assert len(whole) < 13 or sorted(whole.values())[-13] < common[-1][1]  # no tie decides the list
+        total, mine = sum(whole.values()), Counter(own)
+        p, q = [mine[w] / len(own) for w, _ in common], [n / total for _, n in common]
+        word_distance = distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
+        class_distance = distance([c / max(len(text), 1) for c in classes(text)], [c / sum(sums[lang]) for c in sums[lang]])
+        assert r.word_distance == pytest.approx(word_distance, abs=1e-6) and r.class_distance == pytest.approx(class_distance, abs=1e-6)
+        apart = class_distance > quality.MAX_CLASS_DISTANCE or word_distance > quality.MAX_WORD_DISTANCE
+        assert r.kept == (not r.base_failed and not apart)
+
+
+PROSE = "the quick brown fox jumps over the lazy dog while the old man looks on and thinks of the long way back to the town".split()
+
+
+def prose(seed):
+    rnd = random.Random(seed)
+    return " ".join(f"{rnd.choice(PROSE)}{rnd.randrange(30) or ''}" for _ in range(80)) + "."
+
+
+def test_pipeline_keeps_every_distinct_text(spark):
+    """Several texts under one id, rows without an id, nulls, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline
+
+    rows = [(7, prose(1)), (7, prose(2)), (7, prose(1)), (3, prose(2) + " again"), (None, prose(3)), (None, prose(4)), (9, prose(5)), (9, None), (11, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = table.selectExpr("*", "1 as key", "2 as __text", "3 as component_id", "4 as kept", "5 as n", "6 as __p", "7 as __row")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    got = stage(spark, odd, SF_DIR)
+    assert got.columns == odd.columns
+    want = [(3, prose(2) + " again"), (7, prose(1)), (9, None), (9, prose(5)), (11, ""), (None, prose(3)), (None, prose(4))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    kept = dict(corpus_pipeline.STAGES)["quality_rules"](spark, odd, SF_DIR)
+    assert kept.columns == odd.columns and kept.count() == 7
+    for first in (table, table.limit(0)):
+        now = first
+        for _, step in corpus_pipeline.STAGES:
+            now = corpus_pipeline.cut_lineage(step(spark, now, SF_DIR))
+        assert (now.count() > 0) == (not first.isEmpty())
