@@ -9,8 +9,9 @@ from orfloom.operators.ordering import hash_order, hash_position, hash_uniform,
 from orfloom.operators.skew import HOT_ROWS, hot_split_join
 from orfloom.session import cut_lineage
 
-UNITS = float(1 << 60)
-DIGITS = 1 << 52
+LINE = float(1 << 61)
+FINE = float(1 << 40)
+DIGITS = 1 << 60
 
 
 def group_sizes(df: DataFrame, cluster: str, exact: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -31,7 +32,8 @@ def _group_tables(df: DataFrame, cluster: str, exact: str, q: float = 1.0) -> tu
 
 
 def _power(size: str, p: float) -> Column:
-    return F.pow(F.col(size).cast("double"), F.lit(-float(p)))
+    value = F.col(size).cast("double")
+    return F.lit(1.0) / value if p == 1 else F.pow(value, F.lit(-float(p)))
 
 
 def sampling_probability(
@@ -54,15 +56,11 @@ def sampling_probability(
     return hot_split_join(df, per_row, [cluster, exact], "inner", hot_rows=hot_rows)
 
 
-def _share(u: Column, units: Column) -> Column:
-    """floor(u * units) for a uniform number given as a 52-bit integer, in exact arithmetic."""
-    product = u.cast("decimal(38,0)") * units.cast("decimal(20,0)")
-    return F.floor(product / F.lit(DIGITS).cast("decimal(17,0)")).cast("long")
-
-
-def _digits(seed: str, level: str, draw: Column) -> Column:
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit(level), draw.cast("string")))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+def _place(seed: str, draw: Column, total: Column) -> Column:
+    """floor(u * total) for a uniform number given as a 60-bit integer, in exact arithmetic."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit("draw"), draw.cast("string")))
+    product = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)") * total.cast("decimal(20,0)")
+    return F.call_function("div", product, F.lit(DIGITS).cast("decimal(20,0)"))
 
 
 def _cells(lo: Column, hi: Column, total: Column, cells: Column) -> Column:
@@ -86,48 +84,44 @@ def balanced_draws(
 ) -> DataFrame:
     """(draw, key): n draws with replacement; cluster by size^-p, exact group by size^-q, then a uniform row.
 
-    Weights become integer lengths on a line. A draw finds its interval by an equality join on grid cells,
-    with the interval test on top, so neither draws nor groups are collected.
+    Cluster, group and row are one choice: every row is an interval of a line, as long as its chance, and a draw is a place
+    on the line. Draws are uniform there whatever the clusters, so they find their interval by an equality join on the cells
+    of an even grid, with the interval test on top; no join by cluster or group carries draws. Lengths are whole numbers
+    from exact sums, so the line does not depend on the order of rows. Without ``shuffle_within_group`` the first row of a
+    group stands for all.
     """
     name = str(seed + epoch)
-    spark = df.sparkSession
-    groups, clusters = _group_tables(df, cluster, exact, q)
-    weight_sum = clusters.agg(F.sum(_power("cluster_size", p))).scalar()
-    length = F.greatest(F.floor(_power("cluster_size", p) / weight_sum * F.lit(UNITS)).cast("long"), F.lit(1))
-    line = ordered_prefix(clusters.withColumn("__len", length), [], [cluster], "__i", {"__hi": F.col("__len")})
+    lengths = _lengths(df, cluster, exact, key, p, q, shuffle_within_group)
+    line = ordered_prefix(lengths, [], [cluster, exact, key], "__i", {"__hi": F.col("__len")})
+    line = cut_lineage(line.select(key, "__len", "__hi"))
     count, total = (int(x or 0) for x in line.agg(F.count(F.lit(1)), F.max("__hi")).first())
     if count == 0:
         raise ValueError("no rows to draw from")
-    lo = F.col("__hi") - F.col("__len")
-    spans = line.select(
-        cluster, "exact_groups", "exact_weight_sum", lo.alias("__lo"), "__hi",
-        F.explode(_cells(lo, F.col("__hi"), F.lit(float(total)), F.lit(count))).alias("__cell"),
-    )
-    draws = spark.range(n).withColumnRenamed("id", "draw")
-    at = draws.withColumn("__at", _share(_digits(name, "cluster", F.col("draw")), F.lit(total)))
-    at = at.withColumn("__cell", F.floor(F.col("__at").cast("double") / F.lit(float(total)) * F.lit(count)).cast("long"))
-    picked = at.join(spans, "__cell").where("__at >= __lo AND __at < __hi").select("draw", cluster)
-
-    owned = hot_split_join(groups, clusters, cluster, "inner")
-    inner_len = F.greatest(
-        F.floor(_power("exact_size", q) / F.col("exact_weight_sum") * F.lit(UNITS)).cast("long"), F.lit(1)
-    )
-    inner = ordered_prefix(owned.withColumn("__len", inner_len), [cluster], [exact], "__i", {"__hi": F.col("__len")})
-    ends = inner.groupBy(cluster).agg(F.max("__hi").alias("__total"), F.max("exact_groups").alias("__n"))
-    lo2 = F.col("__hi") - F.col("__len")
-    inner_spans = hot_split_join(inner, ends, cluster, "inner").select(
-        cluster, exact, "exact_size", lo2.alias("__lo"), "__hi",
-        F.explode(_cells(lo2, F.col("__hi"), F.col("__total").cast("double"), F.col("__n"))).alias("__cell"),
-    )
-    at2 = hot_split_join(picked, ends, cluster, "inner").withColumn(
-        "__at", _share(_digits(name, "exact", F.col("draw")), F.col("__total"))
+    lo, width = F.col("__hi") - F.col("__len"), F.lit(float(total))
+    spans = line.select(key, lo.alias("__lo"), "__hi", F.explode(_cells(lo, F.col("__hi"), width, F.lit(count))).alias("__cell"))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
+    at = draws.withColumn("__at", _place(name, F.col("draw"), F.lit(total)))
+    at = at.withColumn("__cell", F.floor(F.col("__at").cast("double") / width * F.lit(count)).cast("long"))
+    return at.join(spans, "__cell").where("__at >= __lo AND __at < __hi").select("draw", key)
+
+
+def _lengths(df: DataFrame, cluster: str, exact: str, key: str, p: float, q: float, every_row: bool) -> DataFrame:
+    """(cluster, exact, key, __len): the rows that can be drawn with the lengths of their chances, at least 1."""
+    groups = cut_lineage(df.groupBy(cluster, exact).agg(F.count(F.lit(1)).alias("exact_size"), F.min(key).alias("__first")))
+    fine = groups.withColumn("__group", F.greatest(F.floor(_power("exact_size", q) * FINE).cast("long"), F.lit(1)))
+    clusters = fine.groupBy(cluster).agg(F.sum("exact_size").alias("cluster_size"), F.sum("__group").alias("__groups"))
+    clusters = cut_lineage(
+        clusters.withColumn("__cluster", F.greatest(F.floor(_power("cluster_size", p) * FINE).cast("long"), F.lit(1)))
     )
-    at2 = at2.withColumn("__cell", F.floor(F.col("__at").cast("double") / F.col("__total") * F.col("__n")).cast("long"))
-    chosen = at2.join(inner_spans, [cluster, "__cell"]).where("__at >= __lo AND __at < __hi")
-    row = _share(_digits(name, "row", F.col("draw")), F.col("exact_size")) if shuffle_within_group else F.lit(0).cast("long")
-    wanted = chosen.select("draw", cluster, exact, row.alias("__row"))
-    rows = ordered_prefix(df.select(cluster, exact, key), [cluster, exact], [key], "__row")
-    return wanted.join(rows, [cluster, exact, "__row"]).select("draw", key)
+    whole = clusters.agg(F.sum(F.col("__cluster").cast("decimal(38,0)"))).first()[0] or 0
+    share = F.col("__cluster").cast("double") / F.lit(float(whole)) * F.col("__group").cast("double") / F.col("__groups").cast("double")
+    owned = hot_split_join(fine, clusters, cluster, "inner")
+    if not every_row:
+        length = F.greatest(F.floor(share * LINE).cast("long"), F.lit(1))
+        return owned.select(cluster, exact, F.col("__first").alias(key), length.alias("__len"))
+    length = F.greatest(F.floor(share / F.col("exact_size").cast("double") * LINE).cast("long"), F.lit(1))
+    sized = owned.select(cluster, exact, length.alias("__len"))
+    return hot_split_join(df.select(cluster, exact, key), sized, [cluster, exact], "inner")
 
 
 def epoch_permutation(df: DataFrame, key: str, n: int, seed: int, epoch: int = 0) -> DataFrame:

@@ -128,22 +128,19 @@ def _(spark, sf):
     return out.select("gene_index", F.round("sampling_probability", 9).alias("sampling_probability"))
 
 
-def _u(level: str) -> str:
-    return f"CAST('0x' || substr(md5('42|{level}|' || draw), 1, 13) AS BIGINT)"
-
-
-@query("M05_balanced_draws", f"""WITH {SIZES_SQL},
-cl AS (SELECT *, greatest(CAST(floor(1.0::DOUBLE / nc / w * 1152921504606846976) AS BIGINT), 1) AS len FROM c, z),
-ch AS (SELECT *, sum(len) OVER (ORDER BY genome_id) AS hi, sum(len) OVER () AS total FROM cl),
-gl AS (SELECT g.*, greatest(CAST(floor(1.0::DOUBLE / ne / we * 1152921504606846976) AS BIGINT), 1) AS len FROM g JOIN c USING (genome_id)),
-gh AS (SELECT *, sum(len) OVER (PARTITION BY genome_id ORDER BY exact_sequence_rep_id) AS hi, sum(len) OVER (PARTITION BY genome_id) AS total FROM gl),
-d AS (SELECT range AS draw FROM range((SELECT count(*) FROM documents))),
-d1 AS (SELECT draw, genome_id FROM d JOIN ch ON {_u('cluster')}::HUGEINT * total // 4503599627370496 >= hi - len AND {_u('cluster')}::HUGEINT * total // 4503599627370496 < hi),
-d2 AS (SELECT draw, genome_id, exact_sequence_rep_id, ne FROM d1 JOIN gh USING (genome_id)
-  WHERE {_u('exact')}::HUGEINT * total // 4503599627370496 >= hi - len AND {_u('exact')}::HUGEINT * total // 4503599627370496 < hi)
-SELECT draw, gene_index FROM (SELECT *, {_u('row')}::HUGEINT * ne // 4503599627370496 AS k FROM d2)
-JOIN (SELECT gene_index, genome_id, exact_sequence_rep_id, row_number() OVER (PARTITION BY genome_id, exact_sequence_rep_id ORDER BY gene_index) - 1 AS k FROM wide)
-  USING (genome_id, exact_sequence_rep_id, k)""")
+DRAWS_SQL = f"""{WIDE_SQL}, g AS (SELECT genome_id, exact_sequence_rep_id, count(*) AS ne, greatest(CAST(floor(1.0::DOUBLE / count(*) * 1099511627776) AS BIGINT), 1) AS gl FROM wide GROUP BY 1, 2),
+c AS (SELECT genome_id, sum(gl)::DOUBLE AS gs, greatest(CAST(floor(1.0::DOUBLE / CAST(sum(ne) AS BIGINT) * 1099511627776) AS BIGINT), 1) AS cl FROM g GROUP BY 1),
+z AS (SELECT sum(cl)::DOUBLE AS cs FROM c),
+lens AS (SELECT gene_index, genome_id, exact_sequence_rep_id,
+  greatest(CAST(floor(cl::DOUBLE / cs * gl::DOUBLE / gs / ne::DOUBLE * 2305843009213693952) AS BIGINT), 1) AS len
+  FROM wide JOIN g USING (genome_id, exact_sequence_rep_id) JOIN c USING (genome_id), z),
+line AS (SELECT *, sum(len) OVER (ORDER BY genome_id, exact_sequence_rep_id, gene_index) AS hi, sum(len) OVER () AS total FROM lens),
+d AS (SELECT range AS draw, CAST('0x' || substr(md5('42|draw|' || range), 1, 15) AS BIGINT)::HUGEINT AS u FROM range((SELECT count(*) FROM documents)))"""
+
+
+@query("M05_balanced_draws", f"""WITH {DRAWS_SQL}
+SELECT draw, gene_index FROM (SELECT draw, u * (SELECT max(hi) FROM line) // 1152921504606846976 AS place FROM d)
+ASOF JOIN (SELECT gene_index, hi - len AS lo FROM line) ON place >= lo""")
 def _(spark, sf):
     t = Tables(spark, sf)
     rows = wide_exact(t, "genome_id")

@@ -251,6 +251,31 @@ def test_balanced_split_is_a_partition_without_leaks(spark, skewed):
         splits.balanced_group_split(rows, "k", ratios=(0.7, 0.2, 0.2))
 
 
+@pytest.mark.parametrize("p, q", [(1.0, 1.0), (0.5, 0.0)])
+def test_draws_follow_the_chances(spark, p, q):
+    """One cluster holds a third of the rows, one group most of it; counts stay within five deviations of the chances."""
+    rows = [(i, "hot", 0 if i < 500 else i % 7) for i in range(600)] + [(600 + i, f"c{i % 20}", i % 3) for i in range(1_200)]
+    table = spark.createDataFrame(rows, "id long, c string, e long").repartition(4)
+    n = 30_000
+    got = {r.id: r["count"] for r in sampling.balanced_draws(table, "c", "e", "id", n, 3, p=p, q=q).groupBy("id").count().collect()}
+    assert sum(got.values()) == n
+    clusters, groups = defaultdict(int), defaultdict(int)
+    for _, c, e in rows:
+        clusters[c] += 1
+        groups[c, e] += 1
+    total = sum(k**-p for k in clusters.values())
+    inner = {c: sum(k**-q for (o, _), k in groups.items() if o == c) for c in clusters}
+    by_group, wanted = defaultdict(int), {}
+    for i, c, e in rows:
+        by_group[c, e] += got.get(i, 0)
+        wanted[c, e] = n * clusters[c] ** -p / total * groups[c, e] ** -q / inner[c]
+    for g, want in wanted.items():
+        assert abs(by_group[g] - want) < 5 * want**0.5 + 1
+    first = sampling.balanced_draws(table, "c", "e", "id", 200, 3, p=p, q=q, shuffle_within_group=False)
+    least = {(c, e): min(i for i, oc, oe in rows if (oc, oe) == (c, e)) for _, c, e in rows}
+    assert {r.id for r in first.collect()} <= set(least.values())
+
+
 def test_sampling(spark, skewed):
     rows = skewed.select("id", F.coalesce("k", F.lit(-1)).alias("c"), (F.col("id") % 11).alias("e"))
     chances = sampling.sampling_probability(rows, "c", "e", hot_rows=100)
