@@ -8,6 +8,8 @@ are written out first, because a range partitioning computed twice may cut at di
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,47 @@ def hash_position(df: DataFrame, part: list[str], digest: str, tie: str, positio
     )
 
 
+ROUNDS = 6
+WALK = 64
+
+
+def permuted(place: Column, n: int, *seed: Column | str | int) -> Column:
+    """Where a seeded permutation of 0 .. n - 1 puts a place: a column expression, without sort, shuffle or group.
+
+    A Feistel network over a * b >= n: a number is a pair, and each round adds a keyed digest of one half to the other.
+    Results beyond n are put through it again until they are inside, which keeps the permutation exact. Fewer than a
+    numbers lie beyond, about the square root of n, so the walks are short; one of more than ``WALK`` steps (possible above
+    n = 4,096 with a chance below 10^-100) raises an error.
+    """
+    a = math.isqrt(max(n, 1) - 1) + 1
+    b = -(-max(n, 1) // a)
+    keys = [F.lit(str(s)) if not isinstance(s, Column) else s.cast("string") for s in seed]
+
+    def digest(step: Column, half: Column) -> Column:
+        text = F.concat_ws("|", *keys, step.cast("string"), half.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+    def once(x: Column) -> Column:
+        halves = F.struct(F.call_function("div", x, F.lit(b).cast("long")).alias("l"), (x % F.lit(b).cast("long")).alias("r"))
+
+        def turn(s: Column, step: Column) -> Column:
+            even = step % 2 == 0
+            left = F.when(even, (s["l"] + digest(step, s["r"])) % F.lit(a).cast("long")).otherwise(s["l"])
+            right = F.when(even, s["r"]).otherwise((s["r"] + digest(step, s["l"])) % F.lit(b).cast("long"))
+            return F.struct(left.alias("l"), right.alias("r"))
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda s: s["l"] * F.lit(b).cast("long") + s["r"]
+        )
+
+    end = F.lit(n).cast("long")
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long")), lambda y, _: F.when(y < end, y).otherwise(once(y)),
+        lambda y: F.when(y < end, y).otherwise(F.raise_error(F.lit("permutation: walk too long")).cast("long")),
+    )
+    return found
+
+
 def _slots(payload: Column, reach: int, window) -> Column:
     before = [F.lag(payload, k).over(window) for k in range(reach, 0, -1)]
     after = [F.lead(payload, k).over(window) for k in range(1, reach + 1)]

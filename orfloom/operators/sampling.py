@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orfloom.operators.ordering import hash_order, hash_position, hash_uniform, ordered_prefix
+from orfloom.operators.ordering import hash_uniform, ordered_prefix, permuted
 from orfloom.operators.skew import HOT_ROWS, hot_split_join
 from orfloom.session import cut_lineage
 
@@ -125,14 +125,18 @@ def _lengths(df: DataFrame, cluster: str, exact: str, key: str, p: float, q: flo
 
 
 def epoch_permutation(df: DataFrame, key: str, n: int, seed: int, epoch: int = 0) -> DataFrame:
-    """(sample_no, key): seeded shuffles of all rows one after another until ``n`` samples are out."""
-    size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rounds = F.greatest(F.ceil(F.lit(n) / size), F.lit(1)).cast("int")
-    repeated = df.select(key, F.explode(F.sequence(F.lit(0), rounds - 1)).alias("__round"))
-    digest = hash_order(F.concat_ws("|", F.col("__round"), F.col(key)), seed + epoch)
-    placed = hash_position(repeated.withColumn("__digest", digest), ["__round"], "__digest", key, "__pos")
-    numbered = placed.select((F.col("__round") * size + F.col("__pos")).alias("sample_no"), key)
-    return numbered.where(F.col("sample_no") < n)
+    """(sample_no, key): seeded shuffles of all rows one after another until ``n`` samples are out.
+
+    Rows are numbered once, in the order of their keys; every round is a keyed permutation of these numbers, so further rounds and
+    epochs neither sort nor shuffle.
+    """
+    numbered = cut_lineage(ordered_prefix(df.select(key), [], [key], "__no"))
+    size = numbered.count()
+    rounds = max(-(-n // size), 1) if size else 1
+    repeated = numbered.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    place = permuted(F.col("__no"), size, seed + epoch, F.col("__round"))
+    out = repeated.select((F.col("__round").cast("long") * size + place).alias("sample_no"), key)
+    return out.where(F.col("sample_no") < n)
 
 
 def modality_dropout(df: DataFrame, mask: str, key: str, p: float, seed: int) -> DataFrame:

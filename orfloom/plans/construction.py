@@ -13,7 +13,7 @@ from orfloom.plans.aggregates import (
 from orfloom.plans.functions import WINDOWS_SQL, head_probs
 from orfloom.plans.joins import MAPPED_SQL, RUNS_SQL, mapped_parts, run_table
 from orfloom.plans.registry import (
-    PRED_SQL, SOURCE_SPLIT_SQL, WIDE_SQL, Tables, predictions, query, wide, wide_exact, wide_split,
+    PRED_SQL, SOURCE_SPLIT_SQL, WIDE_SQL, Tables, permuted_sql, predictions, query, wide, wide_exact, wide_split,
 )
 from orfloom.operators.context import CONTEXT_FEATURES, context_features
 from orfloom.plans.registry import sql_strip
@@ -147,11 +147,12 @@ def _(spark, sf):
     return sampling.balanced_draws(rows, "genome_id", "exact_sequence_rep_id", "gene_index", t.documents.count(), seed=42)
 
 
-@query("M06_epoch_permutation", """
-SELECT round * n + pos AS sample_no, doc_id FROM (
-  SELECT doc_id, round, count(*) OVER (PARTITION BY round) AS n, row_number() OVER (PARTITION BY round ORDER BY md5('45|' || round || '|' || doc_id), doc_id) - 1 AS pos
-  FROM documents, (SELECT range AS round FROM range(3)))
-WHERE round * n + pos < (SELECT count(*) * 5 // 2 FROM documents)""")
+_NUMBERED = """SELECT doc_id AS id, range AS kind, row_number() OVER (PARTITION BY range ORDER BY doc_id) - 1 AS x,
+  count(*) OVER (PARTITION BY range) AS n FROM documents, range(3)"""
+
+
+@query("M06_epoch_permutation", f"""WITH RECURSIVE {permuted_sql(_NUMBERED, "'45|' || kind")}
+SELECT kind * n + place AS sample_no, id AS doc_id FROM walked WHERE kind * n + place < n * 5 // 2""")
 def _(spark, sf):
     docs = Tables(spark, sf).documents.select("doc_id")
     return sampling.epoch_permutation(docs, "doc_id", docs.count() * 5 // 2, seed=42, epoch=3)

@@ -138,3 +138,19 @@ def predictions(t: Tables) -> DataFrame:
         ((10000 - bal) / 20000).alias("gate_structure"),
         (bal / 20000).alias("gate_context"),
     )
+
+
+def permuted_sql(rows: str, seed: str) -> str:
+    """CTE ``walked(id, kind, place)`` from ``rows`` (id, kind, x, n): the keyed permutation of x in 0 .. n - 1.
+
+    ``seed`` is a text expression over id, kind and n.
+    """
+    body = f"SELECT id, kind, n, a, b, step, x // b AS l, x % b AS r FROM walk WHERE step = 0 OR x >= n"
+    for turn in range(6):
+        digest = f"CAST('0x' || substr(md5({seed} || '|{turn}|' || {'r' if turn % 2 == 0 else 'l'}), 1, 13) AS BIGINT)"
+        halves = f"(l + {digest}) % a AS l, r" if turn % 2 == 0 else f"l, (r + {digest}) % b AS r"
+        body = f"SELECT id, kind, n, a, b, step, {halves} FROM ({body})"
+    return f"""sized AS (SELECT *, CAST(ceil((n + a - 1) // a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM ({rows}))),
+walk AS (SELECT id, kind, n, a, b, 0 AS step, x FROM sized
+  UNION ALL SELECT id, kind, n, a, b, step + 1, l * b + r FROM ({body})),
+walked AS (SELECT id, kind, x AS place, n FROM walk WHERE step > 0 AND x < n)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orfloom.operators import clusters, context, evaluation, packs, sampling, splits, vectors
 from orfloom.operators.assets import canonical
 from orfloom.operators.labels import build_vocab
-from orfloom.operators.ordering import hash_order, head_per, keep_first
+from orfloom.operators.ordering import hash_order, head_per, keep_first, ordered_prefix, permuted
 from orfloom.plans.aggregates import event_graph, order_rows
 from orfloom.plans.registry import (
     SOURCE_SPLIT_SQL, WIDE_SQL, Tables, query, wide, wide_exact, wide_split,
@@ -212,6 +212,17 @@ def _(spark, sf):
     return hash_position(ids, [], "digest", "c_custkey").drop("digest")
 
 
+_CUSTOMERS = "SELECT c_custkey AS id, 0 AS kind, row_number() OVER (ORDER BY c_custkey) - 1 AS x, count(*) OVER () AS n FROM customer"
+
+
+@query("O06_seeded_permutation", f"""WITH RECURSIVE {permuted_sql(_CUSTOMERS, "'42'")}
+SELECT id AS c_custkey, place AS position FROM walked""")
+def _(spark, sf):
+    rows = Tables(spark, sf).customer.select("c_custkey")
+    numbered = ordered_prefix(rows, [], ["c_custkey"], "no")
+    return numbered.select("c_custkey", permuted(F.col("no"), rows.count(), 42).alias("position"))
+
+
 @query("U01_concatenate", "SELECT 'customer' AS part, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier")
 def _(spark, sf):
     t = Tables(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orfloom.operators import clusters, context, review, sampling, splits
-from orfloom.operators.ordering import hash_position, ordered_prefix, with_neighbours
+from orfloom.operators.ordering import hash_position, ordered_prefix, permuted, with_neighbours
 from orfloom.operators.skew import checked_small, hot_split_join, lookup_join, small_values
 
 
@@ -80,6 +80,17 @@ def test_hash_position_is_a_permutation(spark, skewed):
     assert plain.where("rn <> position").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 97, 1000, 10_007])
+def test_permuted_is_a_bijection(spark, n):
+    """Every place once, another order for another seed, and no trace of the old order."""
+    got = [r[0] for r in spark.range(n).orderBy("id").select(permuted(F.col("id"), n, 5, F.lit("x"))).collect()]
+    assert sorted(got) == list(range(n))
+    if n > 90:
+        other = [r[0] for r in spark.range(n).orderBy("id").select(permuted(F.col("id"), n, 6, F.lit("x"))).collect()]
+        assert sum(x == y for x, y in zip(got, other)) < 10 and sum(i == x for i, x in enumerate(got)) < 10
+        assert abs(sum(got[: n // 2]) / (n // 2) - n / 2) < n / 5
+
+
 @pytest.mark.parametrize("block_rows", [7, 50])
 def test_neighbours_of_hot_groups(spark, skewed, block_rows):
     payload = {"x": F.col("id")}
