@@ -22,6 +22,7 @@ MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.45
 SPAN = 8
 
+MARKS = {"upper": r"A-Z\u00C0-\u00DE", "digit": "0-9", "punctuation": r".,;:!?'\"()\-", "symbol": "#*$%&|<>"}
 CLASSES = ("upper", "digit", "punctuation", "symbol", "space", "other")
 
 
@@ -37,11 +38,7 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
     )
     solid = F.length(F.array_join("__words", ""))
     counted = split.withColumns({
-        "__word_chars": solid.cast("long"),
-        "__c_upper": _removed(body, r"[A-Z\u00C0-\u00DE]+"),
-        "__c_digit": _removed(body, r"[0-9]+"),
-        "__c_punctuation": _removed(body, r"[.,;:!?'\"()\-]+"),
-        "__c_symbol": _removed(body, r"[#*$%&|<>]+"),
+        "__word_chars": solid.cast("long"), **{f"__c_{name}": _removed(body, f"[{letters}]+") for name, letters in MARKS.items()},
     })
     named = F.col("__c_upper") + F.col("__c_digit") + F.col("__c_punctuation") + F.col("__c_symbol")
     return counted.withColumns({
@@ -53,26 +50,29 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
 def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(language, class shares, common words' hashes, word shares with the rest last), a row per language.
 
-    Documents without a language share one reference. Counts are combined in each task before the shuffle.
+    Documents without a language share one reference. One scan gives both: a document's class sums (``kind`` from 0) travel with its
+    words (``kind`` -1), and counts are combined in each task before the shuffle.
     """
     keyed = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__lang"), F.col(text).alias("__raw"))
     rows = with_words(keyed, "__raw")
-    sums = rows.groupBy("__lang").agg(
-        *[F.sum(f"__c_{c}").alias(c) for c in CLASSES], F.sum(F.size("__words").cast("long")).alias("n")
-    )
-    all_chars = sum((F.col(c) for c in CLASSES), F.lit(0))
-    shares = sums.select(
-        "__lang", "n", F.array(*[F.col(c) / F.greatest(all_chars, F.lit(1)) for c in CLASSES]).alias("__ref_class")
-    )
-    hashes = F.transform(
-        F.array_remove(F.split(F.coalesce(F.col("__raw").cast("string"), F.lit("")), BREAK), ""), lambda w: F.xxhash64(w)
+
+    def item(kind: int, word: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), word.alias("word"), n.cast("long").alias("n"))
+
+    sums = [F.col(f"__c_{c}") for c in CLASSES] + [F.size("__words")]
+    items = F.concat(
+        F.transform("__words", lambda w: item(-1, F.xxhash64(w), F.lit(1))),
+        F.array(*[item(kind, F.lit(0).cast("long"), n) for kind, n in enumerate(sums)]),
     )
-    words = keyed.select("__lang", F.explode(hashes).alias("word"))
-    counts = words.groupBy("__lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("c"), "word"))
+    counts = rows.select("__lang", F.inline(items)).groupBy("__lang", "kind", "word").agg(F.sum("n").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("__lang", "kind").orderBy(F.desc("c"), "word"))
     top = counts.withColumn("r", rank).where(F.col("r") <= COMMON)
-    lists = top.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "c"))).alias("top"))
-    joined = shares.join(lists, "__lang", "left")
+    found = top.groupBy("__lang").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("c"))).alias(c) for k, c in enumerate((*CLASSES, "n"))],
+        F.array_sort(F.collect_list(F.when(F.col("kind") == -1, F.struct("r", "word", "c")))).alias("top"),
+    )
+    all_chars = sum((F.col(c) for c in CLASSES), F.lit(0))
+    joined = found.withColumn("__ref_class", F.array(*[F.col(c) / F.greatest(all_chars, F.lit(1)) for c in CLASSES]))
     return joined.select(
         "__lang",
         "__ref_class",
@@ -120,19 +120,57 @@ def _covered(windows: Column) -> Column:
     return let(F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
 
 
+def _window_hashes(hashes: Column) -> Column:
+    """Hash of every ``SPAN`` consecutive words (a power of two): pairs, pairs of pairs and so on by shifted arrays."""
+    n, reach = F.size(hashes), 1
+    while reach < SPAN:
+        hashes = _combined(hashes, reach)
+        reach *= 2
+    return F.slice(hashes, 1, n - SPAN + 1)
+
+
+def _combined(hashes: Column, reach: int) -> Column:
+    def shifted(h: Column) -> Column:
+        rest = F.slice(h, reach + 1, F.greatest(F.size(h) - reach, F.lit(0)))
+        return F.zip_with(h, rest, lambda a, b: F.xxhash64(a, b))
+
+    return let(hashes, shifted)
+
+
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept",
+)
+
+
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows with ``n_words``, base counts, both distances (null where not measured), ``base_failed``, ``kept``.
 
     A null text has no words and fails the base rule; an empty table gives no rows; repeated rows are measured
-    one by one. Columns of the input that carry a result's name are replaced.
+    one by one. Columns of the input that carry a result's name are replaced, all others stay whatever their names.
+    """
+    out = _judged(docs, text, lang)
+    return out.select(*[f"__row.`{c}`" for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
+def _judged(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``_measured`` with ``__one``, null for rejected rows, by an outer explode.
+
+    It keeps the optimizer from moving a filter below the measuring, or merging it with what reads it: either would evaluate
+    the measures again for every column that uses them.
     """
+    return _measured(docs, text, lang).withColumn("__one", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
+
+
+def _measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """``__row``, the input's row, beside the results and working columns."""
     refs = cut_lineage(references(docs, text, lang))
-    keyed = docs.withColumn("__lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
-    rows = with_words(keyed, text).withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    n = F.size("__words")
-    windows = F.when(
-        n >= SPAN, F.transform(F.sequence(F.lit(0), n - SPAN), lambda i: F.xxhash64(F.slice("__hashes", i + 1, SPAN)))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__raw"),
+        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__lang"),
     )
+    rows = with_words(keyed, "__raw").withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    n = F.size("__words")
+    windows = F.when(n >= SPAN, _window_hashes(F.col("__hashes")))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(SOLID))
     based = rows.withColumns({"__windows": windows, "__lines": lines}).withColumns({
         "n_words": n.cast("long"),
@@ -159,15 +197,10 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         "base_failed": failed,
     })
     apart = (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
-    out = scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(apart, F.lit(False)))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(apart, F.lit(False)))
 
 
 def passed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose verdict is ``kept``, with the columns of the input.
-
-    The verdict goes through an outer explode: a plain filter would be pushed below the measuring and would
-    evaluate all of it again for every column that the verdict reads.
-    """
-    marked = measured(docs, text, lang).withColumn("__one", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
-    return marked.where("__one is not null").select(*docs.columns)
+    """The rows whose verdict is ``kept``, with the columns of the input."""
+    marked = _judged(docs, text, lang)
+    return marked.where("__one is not null").select(*[f"__row.`{c}`" for c in docs.columns])
