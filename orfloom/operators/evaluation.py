@@ -9,20 +9,28 @@ from orfloom.functions import kl_to_parent, nll, topk, topk_indices, topk_scores
 from orfloom.operators.ordering import keep_first, ordered_prefix
 from orfloom.operators.skew import lookup_join, small_values
 from orfloom.operators.vectors import masked_mean_vec
+from orfloom.session import cut_lineage
 
 
 def accuracy(df: DataFrame, heads: dict[str, tuple[str, str]], by: list[str] | None = None) -> DataFrame:
-    """Share of equal pairs per head, one column per head."""
-    return df.groupBy(*(by or [])).agg(
-        *[F.avg((F.col(t) == F.col(p)).cast("double")).alias(f"{name}_accuracy") for name, (t, p) in heads.items()]
-    )
+    """Share of equal pairs per head, one column per head; a null prediction is a miss, a row without target does not count."""
+
+    def right(t: str, p: str) -> Column:
+        return F.when(F.col(t).isNotNull(), F.col(t).eqNullSafe(F.col(p)).cast("double"))
+
+    return df.groupBy(*(by or [])).agg(*[F.avg(right(t, p)).alias(f"{name}_accuracy") for name, (t, p) in heads.items()])
 
 
 def class_counts(df: DataFrame, target: str, pred: str, by: list[str] | None = None) -> DataFrame:
-    """tp, fp and fn per class over the union of target and predicted classes."""
+    """tp, fp and fn per class over the union of target and predicted classes; null predictions are misses of their target."""
     by = by or []
     pairs = df.groupBy(*by, F.col(target).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.col("t") == F.col("p")
+    return _class_counts(pairs.where("t is not null"), by)
+
+
+def _class_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The same from counted pairs (t, p, n)."""
+    hit = F.col("t").eqNullSafe(F.col("p"))
     n, zero = F.col("n"), F.lit(0).cast("long")
     entries = F.array(
         F.struct(
@@ -33,7 +41,7 @@ def class_counts(df: DataFrame, target: str, pred: str, by: list[str] | None = N
             F.col("p").alias("class"), zero.alias("tp"), F.when(hit, zero).otherwise(n).alias("fp"), zero.alias("fn"),
         ),
     )
-    flat = pairs.select(*by, F.inline(entries))
+    flat = pairs.select(*by, F.inline(entries)).where("class is not null")
     return flat.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
@@ -62,6 +70,29 @@ def class_report(df: DataFrame, target: str, pred: str) -> DataFrame:
     )
 
 
+def confusion_cells(df: DataFrame, target: str, pred: str) -> DataFrame:
+    """(target, pred, n, target_n, pred_n): the cells that occur, with the totals of their row and column.
+
+    Linear in the number of occurring pairs for any number of classes; ``confusion`` writes the square of a bounded class list.
+    """
+    cells = df.groupBy(F.col(target).alias("target"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(cells.where("target is not null"))
+    rows = cells.groupBy("target").agg(F.sum("n").alias("target_n"))
+    columns = cells.groupBy("pred").agg(F.sum("n").alias("pred_n"))
+    return lookup_join(lookup_join(cells, rows, "target", "inner"), columns, "pred", "inner", null_safe=True)
+
+
+def class_totals(cells: DataFrame) -> DataFrame:
+    """(class, as_target, as_pred) of every class of the cells, zeros included: the class list with its margins."""
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("target").alias("class"), F.col("n").alias("as_target"), zero.alias("as_pred")),
+        F.struct(F.col("pred").alias("class"), zero.alias("as_target"), F.col("n").alias("as_pred")),
+    )
+    flat = cells.select(F.inline(sides)).where("class is not null")
+    return flat.groupBy("class").agg(F.sum("as_target").alias("as_target"), F.sum("as_pred").alias("as_pred"))
+
+
 def confusion(df: DataFrame, target: str, pred: str) -> DataFrame:
     """(target, pred, n) over the square of all classes, zeros included."""
     counts, labels = _confusion_counts(df, target, pred)
@@ -180,6 +211,59 @@ def evaluate(
     return out
 
 
+class Bundle:
+    """All tables of an evaluation, from one pass over the predictions.
+
+    ``cells`` counts every (split, head, target, pred) and sums the gates; it is written once, and metrics, confusion and gates by
+    class are read from it. A second small count, of the predicted paths, gives the violations.
+    """
+
+    def __init__(self, df: DataFrame, heads: dict[str, tuple[str, str]], by: str = "split", gates: list[str] | None = None):
+        self.df, self.heads, self.by, self.gates = df, heads, by, gates or []
+        entries = F.array(*[
+            F.struct(F.lit(h).alias("head"), F.col(t).cast("string").alias("t"), F.col(p).cast("string").alias("p"))
+            for h, (t, p) in heads.items()
+        ])
+        flat = df.select(by, *self.gates, F.inline(entries)).where("t is not null")
+        sums = [F.sum(g).alias(g) for g in self.gates] + [F.count(g).alias(f"__n_{g}") for g in self.gates]
+        self.cells = cut_lineage(flat.groupBy(by, "head", "t", "p").agg(F.count(F.lit(1)).alias("n"), *sums))
+
+    def metrics(self) -> DataFrame:
+        """(split, head, rows, accuracy, macro_f1)."""
+        hits = F.sum(F.when(F.col("t").eqNullSafe(F.col("p")), F.col("n")).otherwise(F.lit(0)))
+        exact = self.cells.groupBy(self.by, "head").agg(F.sum("n").alias("rows"), (hits / F.sum("n")).alias("accuracy"))
+        counts = _class_counts(self.cells.select(self.by, "head", "t", "p", "n"), [self.by, "head"])
+        f1 = counts.groupBy(self.by, "head").agg(F.avg(f1_of(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"))
+        return exact.join(f1, [self.by, "head"])
+
+    def confusion(self) -> DataFrame:
+        """(split, head, target, pred, n): the cells that occur."""
+        return self.cells.select(self.by, "head", F.col("t").alias("target"), F.col("p").alias("pred"), "n")
+
+    def gates_by_class(self, head: str) -> DataFrame:
+        """Mean gates of each target class of a head in each split."""
+        sums = self.cells.where(F.col("head") == head).groupBy(self.by, F.col("t").alias("class"))
+        return sums.agg(F.sum("n").alias("rows"), *[(F.sum(g) / F.nullif(F.sum(f"__n_{g}"), F.lit(0))).alias(g) for g in self.gates])
+
+    def violations(self, l1: str, l2: str, l3: str, l3_to_l2: DataFrame, l2_to_l1: DataFrame) -> DataFrame:
+        """(split, checked, violation_rate) over the predicted paths, each counted once; a split without checked rows has rate 0."""
+        paths = cut_lineage(self.df.groupBy(self.by, l1, l2, l3).agg(F.count(F.lit(1)).alias("n")))
+        up2 = l3_to_l2.where("parent >= 0").select(F.col("child").alias(l3), F.col("parent").alias("__implied_l2"))
+        up1 = l2_to_l1.where("parent >= 0").select(F.col("child").alias(l2), F.col("parent").alias("__implied_l1"))
+        judged = lookup_join(lookup_join(paths, up2, l3, "left"), up1, l2, "left")
+        known = F.col("__implied_l2").isNotNull() & F.col("__implied_l1").isNotNull()
+        wrong = known & ~(F.col("__implied_l2").eqNullSafe(F.col(l2)) & F.col("__implied_l1").eqNullSafe(F.col(l1)))
+        checked = F.sum(F.when(known, F.col("n")).otherwise(F.lit(0)))
+        bad = F.sum(F.when(wrong, F.col("n")).otherwise(F.lit(0)))
+        return judged.groupBy(self.by).agg(
+            checked.alias("checked"), F.coalesce(bad / F.nullif(checked, F.lit(0)), F.lit(0.0)).alias("violation_rate")
+        )
+
+    def topk(self, probs: str, key: str, k: int = 3) -> DataFrame:
+        """(key, split, confidence, topk_indices, topk_scores) of every row."""
+        return with_topk(self.df, probs, k).select(key, self.by, "confidence", "topk_indices", "topk_scores")
+
+
 def best_epoch(history: DataFrame, run: str, epoch: str, metric: str) -> DataFrame:
     """Per run the first epoch that reaches the highest metric."""
     return keep_first(history.where(F.col(metric).isNotNull()), run, [F.desc(metric), F.col(epoch)])

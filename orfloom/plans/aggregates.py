@@ -175,6 +175,24 @@ def _(spark, sf):
     return evaluation.confusion(predictions(Tables(spark, sf)), "target_l3", "pred_l3")
 
 
+@query("A17_confusion_cells", f"""WITH {PRED_SQL} SELECT target_l3 AS target, pred_l3 AS pred, count(*) AS n,
+  CAST(sum(count(*)) OVER (PARTITION BY target_l3) AS BIGINT) AS target_n, CAST(sum(count(*)) OVER (PARTITION BY pred_l3) AS BIGINT) AS pred_n
+FROM preds GROUP BY 1, 2""")
+def _(spark, sf):
+    return evaluation.confusion_cells(predictions(Tables(spark, sf)), "target_l3", "pred_l3")
+
+
+# every part as a class, confused with the next one where it is cheap: the number of classes grows with the table
+@query("A17_class_totals", """WITH preds AS (SELECT p_partkey AS t, p_partkey + CASE WHEN p_size < 10 THEN 1 ELSE 0 END AS p FROM part)
+SELECT class, CAST(sum(a) AS BIGINT) AS as_target, CAST(sum(b) AS BIGINT) AS as_pred FROM (
+  SELECT t AS class, 1 AS a, 0 AS b FROM preds UNION ALL SELECT p, 0, 1 FROM preds) GROUP BY 1""")
+def _(spark, sf):
+    parts = Tables(spark, sf).part.select(
+        F.col("p_partkey").alias("t"), (F.col("p_partkey") + (F.col("p_size") < 10).cast("int")).alias("p")
+    )
+    return evaluation.class_totals(evaluation.confusion_cells(parts, "t", "p"))
+
+
 @query("A17_confusion_wide", f"""WITH {PRED_SQL}
 SELECT k AS target, count(row_id) FILTER (WHERE pred_l2 = 0) AS "0", count(row_id) FILTER (WHERE pred_l2 = 1) AS "1",
   count(row_id) FILTER (WHERE pred_l2 = 2) AS "2", count(row_id) FILTER (WHERE pred_l2 = 3) AS "3", count(row_id) FILTER (WHERE pred_l2 = 4) AS "4"

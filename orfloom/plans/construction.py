@@ -415,6 +415,64 @@ def _(spark, sf):
     return out.select("split", *[F.round(c, 6).alias(c) for c in out.columns if c != "split"])
 
 
+GATES = ["gate_sequence", "gate_structure", "gate_context"]
+
+
+def bundle(t: Tables) -> evaluation.Bundle:
+    return evaluation.Bundle(predictions(t), {f"l{i}": (f"target_l{i}", f"pred_l{i}") for i in (1, 2, 3)}, "split", GATES)
+
+
+LONG_SQL = " UNION ALL ".join(f"SELECT split, 'l{i}' AS head, target_l{i} AS t, pred_l{i} AS p FROM preds" for i in (1, 2, 3))
+
+
+@query("M18_bundle_metrics", f"""WITH {PRED_SQL}, long AS ({LONG_SQL}),
+counts AS (SELECT split, head, class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+  SELECT split, head, t AS class, CAST(t = p AS INT) AS tp, 0 AS fp, CAST(t <> p AS INT) AS fn FROM long
+  UNION ALL SELECT split, head, p, 0, CAST(t <> p AS INT), 0 FROM long) GROUP BY ALL),
+f1 AS (SELECT split, head, round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END), 6) AS macro_f1 FROM counts GROUP BY ALL)
+SELECT split, head, count(*) AS rows, round(avg(CAST(t = p AS INT)), 6) AS accuracy, any_value(macro_f1) AS macro_f1 FROM long JOIN f1 USING (split, head) GROUP BY 1, 2""")
+def _(spark, sf):
+    out = bundle(Tables(spark, sf)).metrics()
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1")})
+
+
+@query("M18_bundle_confusion", f"""WITH {PRED_SQL}, long AS ({LONG_SQL})
+SELECT split, head, CAST(t AS VARCHAR) AS target, CAST(p AS VARCHAR) AS pred, count(*) AS n FROM long GROUP BY ALL""")
+def _(spark, sf):
+    return bundle(Tables(spark, sf)).confusion()
+
+
+@query("M18_bundle_gates", f"""WITH {PRED_SQL} SELECT split, CAST(target_l3 AS VARCHAR) AS class, count(*) AS rows,
+  {", ".join(f"round(avg({g}) + 1e-12, 9) AS {g}" for g in GATES)} FROM preds GROUP BY 1, 2""")
+def _(spark, sf):
+    out = bundle(Tables(spark, sf)).gates_by_class("l3")
+    return out.withColumns({g: F.round(F.col(g) + 1e-12, 9) for g in GATES})
+
+
+@query("M18_bundle_violations", f"""WITH {PRED_SQL} SELECT split, count(n.n_nationkey) FILTER (WHERE r.r_regionkey IS NOT NULL) AS checked,
+  round(coalesce(avg(CASE WHEN n.n_regionkey <> pred_l2 OR r_regionkey % 2 <> pred_l1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE n.n_nationkey IS NOT NULL AND r.r_regionkey IS NOT NULL), 0), 9) AS violation_rate
+FROM preds LEFT JOIN nation n ON n.n_nationkey = pred_l3 LEFT JOIN region r ON r.r_regionkey = pred_l2 GROUP BY split""")
+def _(spark, sf):
+    from orfloom.plans.aggregates import parent_maps
+
+    t = Tables(spark, sf)
+    out = bundle(t).violations("pred_l1", "pred_l2", "pred_l3", *parent_maps(t))
+    return out.withColumn("violation_rate", F.round("violation_rate", 9))
+
+
+@query("M18_bundle_topk", """
+SELECT vec_id, CASE WHEN vec_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, confidence, string_agg(CAST(pos - 1 AS VARCHAR), ',' ORDER BY rn) AS topk_indices,
+  string_agg(printf('%.6f', x), ',' ORDER BY rn) AS topk_scores FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) AS rn, max(x) OVER (PARTITION BY vec_id) AS confidence FROM (
+    SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)) WHERE rn <= 3 GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    rows = Tables(spark, sf).embeddings.select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 10 < 7, "train").otherwise("test").alias("split"),
+        F.col("label").alias("t"), F.col("label").alias("p"),
+    )
+    return evaluation.Bundle(rows, {"label": ("t", "p")}).topk("embedding", "vec_id")
+
+
 @query("M19_ablation_report", f"""WITH {RUNS_SQL.replace("variant = 'AF'", "variant = 'seq_only'").replace("l_returnflag || l_linestatus AS variant", "CASE WHEN l_returnflag || l_linestatus = 'AF' THEN 'seq_only' WHEN l_returnflag || l_linestatus = 'NO' THEN 'seq_ctx' ELSE l_returnflag || l_linestatus END AS variant")},
 {STABILITY_SQL.replace("variant = 'AF'", "variant = 'seq_only'")}
 SELECT d.variant, d.seed, round(d.delta, 9) AS relative_to_seq_only_l3, round(d.metric - h.metric, 9) AS relative_to_ctx_handcrafted_l3, stability_label

@@ -10,7 +10,7 @@ from orfloom.operators.labels import build_vocab
 from orfloom.operators.ordering import hash_order, head_per, keep_first, ordered_prefix, permuted
 from orfloom.plans.aggregates import event_graph, order_rows
 from orfloom.plans.registry import (
-    SOURCE_SPLIT_SQL, WIDE_SQL, Tables, query, wide, wide_exact, wide_split,
+    SOURCE_SPLIT_SQL, WIDE_SQL, Tables, permuted_sql, query, wide, wide_exact, wide_split,
 )
 
 

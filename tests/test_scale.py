@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orfloom.operators import clusters, context, review, sampling, splits
+from orfloom.operators import clusters, context, evaluation, review, sampling, splits
 from orfloom.operators.ordering import hash_position, ordered_prefix, permuted, with_neighbours
 from orfloom.operators.skew import checked_small, hot_split_join, lookup_join, small_values
 
@@ -299,3 +299,24 @@ def test_sampling(spark, skewed):
     shuffled = sampling.epoch_permutation(rows, "id", 4500, seed=1).collect()
     assert sorted(r.sample_no for r in shuffled) == list(range(4500))
     assert len({r.id for r in shuffled if r.sample_no < 2000}) == 2000
+
+
+def test_confusion_of_very_many_classes(spark):
+    """50,000 classes: cells and totals stay linear."""
+    rows = spark.range(60_000).select((F.col("id") % 50_000).alias("t"), ((F.col("id") * 7 + 3) % 50_000).alias("p"))
+    cells = evaluation.confusion_cells(rows, "t", "p")
+    totals = evaluation.class_totals(cells)
+    assert totals.count() == 50_000
+    assert totals.agg(F.sum("as_target"), F.sum("as_pred")).first() == (60_000, 60_000)
+    assert cells.agg(F.sum("n")).first()[0] == 60_000 and cells.where("n > target_n or n > pred_n").count() == 0
+
+
+def test_null_predictions_are_misses(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 1, None, 0.1), ("a", 2, 2, None), ("a", None, 2, 0.3)], "split string, t int, p int, g double")
+    assert evaluation.accuracy(rows, {"x": ("t", "p")}).first()[0] == pytest.approx(2 / 3)
+    assert evaluation.macro_f1(rows, "t", "p").first()[0] == pytest.approx((2 / 3 + 1) / 2)
+    bundle = evaluation.Bundle(rows, {"x": ("t", "p")}, "split", ["g"])
+    got = bundle.metrics().first()
+    assert (got.rows, got.accuracy, got.macro_f1) == (3, pytest.approx(2 / 3), pytest.approx(5 / 6))
+    assert {(r["class"], r.rows, r.g) for r in bundle.gates_by_class("x").collect()} == {("1", 2, 0.3), ("2", 1, None)}
+    assert evaluation.Bundle(rows.limit(0), {"x": ("t", "p")}).metrics().count() == 0
