@@ -31,6 +31,63 @@ def require_contract(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df
 
 
+def key_fingerprint(df: DataFrame, key: str | list[str]) -> DataFrame:
+    """(rows, low, high): count and two exact sums of hashes, equal for equal multisets of keys in any order.
+
+    Two tables are compared without a join or a sort; multisets that differ agree with a chance below 2^-100.
+    """
+    keys = [F.col(k).cast("string") for k in ([key] if isinstance(key, str) else key)]
+    named = F.to_json(F.array(*keys))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.coalesce(F.sum(F.xxhash64(F.lit(salt), named).cast("decimal(38,0)")), F.lit(0)).alias(n) for salt, n in ((1, "low"), (2, "high"))],
+    )
+
+
+def check_manifest(
+    df: DataFrame,
+    rules: dict[str, Column],
+    vocabularies: dict[str, tuple[DataFrame, int]] | None = None,
+    aligned: dict[str, tuple[DataFrame, DataFrame, str | list[str]]] | None = None,
+) -> DataFrame:
+    """(rule, violations) of a table against its manifest: row rules, sizes of label vocabularies, alignment of keys.
+
+    A vocabulary violates by the difference of its number of rows from the expected one; two tables whose multisets of keys
+    differ violate once. All rows are read, in one pass for each table.
+    """
+    out = check_contract(df, rules)
+    for name, (vocabulary, expected) in (vocabularies or {}).items():
+        size = vocabulary.agg(F.abs(F.count(F.lit(1)) - F.lit(expected)).alias("violations"))
+        out = out.unionByName(size.select(F.lit(name).alias("rule"), F.col("violations").cast("long").alias("violations")))
+    for name, (left, right, key) in (aligned or {}).items():
+        both = key_fingerprint(left, key).unionByName(key_fingerprint(right, key))
+        apart = both.agg((F.count_distinct(F.struct("rows", "low", "high")) - 1).cast("long").alias("violations"))
+        out = out.unionByName(apart.select(F.lit(name).alias("rule"), "violations"))
+    return out
+
+
+def ratio_report(df: DataFrame, split: str, ratios: dict[str, float]) -> DataFrame:
+    """(split, rows, share, wanted): the shares that a split really has beside those it was made for; absent splits have 0 rows."""
+    check_ratios(*ratios.values())
+    wanted = F.array(*[F.struct(F.lit(k).alias("split"), F.lit(float(v)).alias("wanted")) for k, v in ratios.items()])
+    sums = df.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(split) == k).alias(f"n_{k}") for k in ratios])
+    rows = F.create_map(*[x for k in ratios for x in (F.lit(k), F.col(f"n_{k}"))])
+    flat = sums.select("all", rows.alias("m"), F.inline(wanted))
+    n = F.element_at("m", F.col("split"))
+    return flat.select("split", n.alias("rows"), (n / F.nullif(F.col("all"), F.lit(0))).alias("share"), "wanted")
+
+
+def column_report(df: DataFrame, required: list[str]) -> DataFrame:
+    """(column, present, filled): whether the table has each required column and in how many rows it is not null."""
+    filled = {c: F.count(F.col(f"`{c}`")) if c in df.columns else F.lit(0).cast("long") for c in required}
+    sums = df.agg(F.count(F.lit(1)).alias("__rows"), *[n.alias(f"__{i}") for i, n in enumerate(filled.values())])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(f"__{i}").alias("filled"))
+        for i, c in enumerate(required)
+    ]
+    return sums.select(F.inline(F.array(*rows)))
+
+
 def dims_report(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     """(rule, violations) for vector columns that must have a fixed size."""
     return check_contract(df, {c: F.size(c) == n for c, n in dims.items()})

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfloom.functions import (
@@ -85,6 +85,22 @@ def embedding_index(emb: DataFrame, key: str, length: str, shard_rows: int = 20_
     return sharded.withColumn("shard_name", F.format_string("shard_%05d", "shard_no"))
 
 
+def write_shards(vectors: DataFrame, path: str) -> None:
+    """Store sharded vectors, a file for each shard in the order of its rows; the row numbers themselves are not stored."""
+    rows = vectors.repartition("shard_no").sortWithinPartitions("shard_no", "row_index").drop("row_index")
+    rows.write.partitionBy("shard_no").parquet(path)
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    """Where each vector lies in the files of ``write_shards``: the row is read from the file's own metadata, lengths and
+    flag from its columns; the vectors are not read."""
+    rows = spark.read.parquet(path)
+    return rows.select(
+        "embedding_id", F.col("shard_no").cast("int").alias("shard_no"), F.col("_metadata.row_index").cast("int").alias("row_index"),
+        F.format_string("shard_%05d", F.col("shard_no").cast("int")).alias("shard_name"), "orig_seq_len", "effective_seq_len", "truncated_flag",
+    )
+
+
 def residue_counts(dim: int) -> Encoder:
     """Stand-in encoder: counts of adjacent residue pairs in ``dim`` buckets, divided by the pair count."""
 

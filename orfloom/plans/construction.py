@@ -373,6 +373,20 @@ def _(spark, sf):
     return stored.unionByName(added.select(*columns))
 
 
+@query("S15_stored_index", f"""WITH clean AS (SELECT doc_id, length(s) AS L FROM (SELECT doc_id, {CLEAN_TEXT} AS s FROM documents) WHERE length(s) > 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY L, doc_id) - 1 AS rn FROM clean)
+SELECT strategy, doc_id AS embedding_id, CAST(rn // 64 AS INTEGER) AS shard_no, CAST(rn % 64 AS INTEGER) AS row_index, printf('shard_%05d', CAST(rn // 64 AS INTEGER)) AS shard_name,
+  CAST(L AS INTEGER) AS orig_seq_len, CAST(CASE WHEN strategy = 'truncate' THEN least(L, 512) ELSE L END AS INTEGER) AS effective_seq_len,
+  strategy = 'truncate' AND L > 512 AS truncated_flag FROM numbered, (SELECT unnest(['sliding_windows', 'truncate']) AS strategy)""")
+def _(spark, sf):
+    docs, parts = Tables(spark, sf).documents, []
+    for strategy in ("sliding_windows", "truncate"):
+        path = scratch_dir(spark, "shards")
+        vectors.write_shards(vectors.vectorize(docs, "doc_id", "text", vectors.residue_counts(8), strategy=strategy, shard_rows=64), path)
+        parts.append(vectors.stored_index(spark, path).withColumn("strategy", F.lit(strategy)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("M16_modality_dropout", """
 SELECT doc_id, true AS sequence, vec_id IS NOT NULL AND CAST('0x' || substr(md5('7|1|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE > 0.3 AS structure,
   quality IS NOT NULL AND CAST('0x' || substr(md5('7|2|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE > 0.3 AS context

@@ -192,3 +192,24 @@ def test_multimodal_pack_needs_every_sequence_vector(spark):
         "p1": ([True, True, False], [1.0], 0), "p2": ([True, False, False], [0.0], 0)
     }
     assert packs.core_pack(index, half, vocabs).count() == 1
+
+
+def test_manifest_finds_planted_violations(spark):
+    from pyspark.sql import functions as F
+
+    from orfloom.operators import quality
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "k int, v string")
+    swapped, fewer = left.orderBy(F.desc("v")).repartition(3), left.where("v <> 'a'")
+    doubled = left.where("k = 2").limit(1).unionByName(left.where("k is null or k = 1")).unionByName(left.where("k = 1"))
+    found = quality.check_manifest(
+        left, {"known": F.col("k").isNotNull()}, {"size": (left.select("v").distinct(), 5), "fits": (left.select("v").distinct(), 3)},
+        {"same": (left, swapped, "k"), "fewer": (left, fewer, "k"), "doubled": (left, doubled, ["k", "v"]), "empty": (left.limit(0), left.limit(0), "k")},
+    )
+    assert {r.rule: r.violations for r in found.collect()} == {
+        "known": 1, "size": 2, "fits": 0, "same": 0, "fewer": 1, "doubled": 1, "empty": 0,
+    }
+    shares = {r.split: (r.rows, r.share) for r in quality.ratio_report(left, "v", {"a": 0.5, "z": 0.5}).collect()}
+    assert shares == {"a": (1, 0.25), "z": (0, 0.0)}
+    report = {r.column: (r.present, r.filled) for r in quality.column_report(left, ["k", "v", "w"]).collect()}
+    assert report == {"k": (True, 3), "v": (True, 4), "w": (False, 0)}
