@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -358,26 +364,71 @@ def swap_rate(df: DataFrame, primary: str, secondary: str, pred_primary: str, pr
     )
 
 
+MEANS_BYTES = 64 << 20
+
+
 def prototype_distance(
-    df: DataFrame, label: str, vec: str, threshold: float | None = None, labelled: Column | None = None
+    df: DataFrame, label: str, vec: str, threshold: float | None = None, labelled: Column | None = None,
+    means_bytes: int = MEANS_BYTES,
 ) -> DataFrame:
-    """Nearest class mean of each vector, its distance, and whether the distance asks to abstain.
+    """Nearest class mean of each vector (``nearest``, the least label among equals), its ``distance`` and, with a
+    threshold, whether to ``abstain``; null for a null vector or where there is no class.
 
-    The class means (one vector per class) reach every row as one array value, not by a join.
+    Class means are dealt into rounds of at most ``means_bytes``. A round broadcasts its means, and every row keeps the best of
+    those it has met, so any number of classes is compared exactly while a worker holds one round and no row is copied.
     """
-    base = df if labelled is None else df.where(labelled)
-    means = masked_mean_vec(base, label, vec, F.col(label).isNotNull(), "mean_vec")
-    table = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "mean_vec")))).scalar()
-
-    def distance(mean: Column) -> Column:
-        squares = F.zip_with(F.col(vec), mean, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-
-    ranked = F.transform(
-        "__means", lambda m: F.struct(distance(m["mean_vec"]).alias("distance"), m["label"].alias("label"))
+    base = (df if labelled is None else df.where(labelled)).where(F.col(vec).isNotNull())
+    means = masked_mean_vec(base, label, vec, F.col(label).isNotNull(), "mean_vec").where("mean_vec is not null")
+    means = cut_lineage(means.select(F.col(label).alias("label"), "mean_vec"))
+    kind, width = means.schema["label"].dataType, means.agg(F.max(F.size("mean_vec"))).first()[0] or 1
+    rows = means.count()
+    per_round = max(1, means_bytes // (8 * width))
+    numbered = means.withColumn("__round", F.pmod(F.xxhash64("label"), F.lit(-(-rows // per_round) if rows else 1)))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    state = df.select(
+        row.alias("row"), F.col(vec).cast("array<double>").alias("vec"),
+        F.lit(None).cast("double").alias("distance"), F.lit(None).cast(kind).alias("nearest"),
     )
-    near = df.withColumn("__means", table).withColumn("__near", F.array_min(ranked))
-    out = near.withColumns({"nearest": F.col("__near.label"), "distance": F.col("__near.distance")})
+    rounds = sorted(r[0] for r in numbered.select("__round").distinct().collect())
+    for turn, number in enumerate(rounds):
+        part = numbered.where(F.col("__round") == number).select("label", "mean_vec").toArrow().sort_by("label")
+        held = df.sparkSession.sparkContext.broadcast((part.column("label").to_pylist(), np.array(part.column("mean_vec").to_pylist(), float)))
+        state = state.mapInArrow(_nearer(held), state.schema)
+        if turn + 1 < len(rounds):
+            state = cut_lineage(state)
+    out = state.select("row.*", "nearest", "distance")
     if threshold is not None:
         out = out.withColumn("abstain", F.col("distance") > threshold)
-    return out.drop("__means", "__near")
+    return out
+
+
+def _nearer(held: Broadcast):
+    """Compare the vectors of a batch with the means of one round.
+
+    A matrix product finds the means that can be nearest within its rounding error; these are compared by summed squares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, means = held.value
+        norms = (means * means).sum(axis=1)
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            best, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            usable = [i for i, v in enumerate(vectors) if v is not None and len(v) == means.shape[1] and None not in v]
+            for start in range(0, len(usable), 256):
+                at = usable[start : start + 256]
+                x = np.array([vectors[i] for i in at], float)
+                own = (x * x).sum(axis=1)
+                rough = own[:, None] + norms[None, :] - 2 * (x @ means.T)
+                slack = 1e-9 * (own[:, None] + norms[None, :]) + 1e-300
+                near = rough - slack <= (rough + slack).min(axis=1)[:, None]
+                for i, values, candidates in zip(at, x, near, strict=True):
+                    for k in np.flatnonzero(candidates):
+                        gaps = values - means[k]
+                        distance = math.sqrt(math.fsum((gaps * gaps).tolist()))
+                        if best[i] is None or (distance, labels[k]) < (best[i], names[i]):
+                            best[i], names[i] = distance, labels[k]
+            columns = [batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(names, batch.schema.field(3).type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run

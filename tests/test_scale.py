@@ -320,3 +320,22 @@ def test_null_predictions_are_misses(spark):
     assert (got.rows, got.accuracy, got.macro_f1) == (3, pytest.approx(2 / 3), pytest.approx(5 / 6))
     assert {(r["class"], r.rows, r.g) for r in bundle.gates_by_class("x").collect()} == {("1", 2, 0.3), ("2", 1, None)}
     assert evaluation.Bundle(rows.limit(0), {"x": ("t", "p")}).metrics().count() == 0
+
+
+@pytest.mark.parametrize("means_bytes", [1, 200, 1 << 20])
+def test_nearest_mean_in_any_number_of_rounds(spark, means_bytes):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abcdefg"), [rng.gauss(0, 1) for _ in range(5)]) for i in range(120)] + [(200, "a", None), (201, None, [0.0] * 5)]
+    table = spark.createDataFrame(rows, "id int, label string, vec array<double>")
+    sums = defaultdict(list)
+    for _, c, v in rows:
+        if c is not None and v is not None:
+            sums[c].append(v)
+    means = {c: [sum(x) / len(vs) for x in zip(*vs)] for c, vs in sums.items()}
+    for r in evaluation.prototype_distance(table, "label", "vec", 1.0, means_bytes=means_bytes).collect():
+        if r.vec is None:
+            assert (r.nearest, r.distance, r.abstain) == (None, None, None)
+            continue
+        want = min((sum((x - y) ** 2 for x, y in zip(r.vec, m)) ** 0.5, c) for c, m in means.items())
+        assert r.nearest == want[1] and r.distance == pytest.approx(want[0]) and r.abstain == (want[0] > 1.0)
+    assert evaluation.prototype_distance(table.limit(0), "label", "vec").count() == 0
