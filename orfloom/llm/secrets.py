@@ -116,7 +116,7 @@ def pairs(text: str) -> Iterator[tuple[str, tuple[int, int] | str]]:
                 yield name, (a, b)
                 assigned, name = closing, (name if closing else None)
             else:
-                name = text[a:b] if b - a <= 128 else None  # a quoted key
+                name = text[a:b]  # a quoted key
         elif kind == "name":
             if assigned and name is not None:
                 bare = BARE.match(text, m.start())
