@@ -188,7 +188,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_lines(lines: list[str], places: list[int], other: list[int] | None) -> list[str]:
-    """The page's main text: its lines without those shared with the partner, whose marks are ``other``."""
+    """The page's main text: its lines without those shared with the partner, whose marks are ``other``.
+
+    Menus, adverts, comments and the like never count, unless a page without article consists of nothing else (as one whose
+    whole content stands in a form).
+    """
     shared = shared_lines(line_marks(lines), other) if other else [False] * len(lines)
     if any(place & (INSIDE | SKIPPED_LINE) == INSIDE for place in places):
         outside = {line for line, place in zip(lines, places, strict=True) if not place & INSIDE}
@@ -196,9 +200,10 @@ def kept_lines(lines: list[str], places: list[int], other: list[int] | None) ->
             line for line, place, cut in zip(lines, places, shared, strict=True)
             if place & (INSIDE | SKIPPED_LINE) == INSIDE and not (cut and line in outside)
         ]
-    if other:
-        return [line for line, cut in zip(lines, shared, strict=True) if not cut]
-    return [line for line, place in zip(lines, places, strict=True) if not place & SKIPPED_LINE]
+    wanted = [not place & SKIPPED_LINE for place in places]
+    if other and not any(wanted):
+        wanted = [True] * len(lines)
+    return [line for line, want, cut in zip(lines, wanted, shared, strict=True) if want and not cut]
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,6 +230,19 @@ def test_pages_align_menus_and_guard_the_article(spark):
     assert [got[k] for k in range(4, 9)] == ["text 4", "in main", "in form", "own", "own"]
 
 
+def test_pages_without_article_lose_menus_adverts_and_comments(spark):
+    """Blocks that differ from the partner's are no main text if they are a menu, an advert or a comment."""
+    body = "<div>Site</div><nav>You: {0}</nav><div class='ad'>Buy {0}</div><p>text {0}</p><div class='comments'><p>rude {0}</p></div>"
+    rows = [(k, f"http://h.example/a/{k}", body.format(k)) for k in range(2)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "text 0", 1: "text 1"}
+
+
+def test_long_quoted_keys_are_names():
+    text = '{"' + "x" * 200 + '_db_password": "hV7-kQz2-9LmX"}'
+    assert [text[a:b] for name, (a, b) in [p for p in secrets.pairs(text) if not isinstance(p[1], str)]] == ["hV7-kQz2-9LmX"]
+
+
 def test_pages_inner_copies_find_a_partner(spark):
     body = "<body><div>Site name</div><div>{}</div><div>All rights</div></body>"
     rows = [(k, f"http://h.example/a/p?v={k}", body.format("copy")) for k in range(40)]  # one path
