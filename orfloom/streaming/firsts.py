@@ -8,10 +8,12 @@ for it), because Spark would remove late rows there before the processor sees th
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 LATE = "late"
 MICROS = "__us"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: the process that prepares the processor beside the driver may not find this package: the class travels by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
