@@ -16,10 +16,12 @@ import html
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,44 +173,64 @@ def shared_lines(own: list, other: list) -> list[bool]:
     return shared
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidates(places: list[int]) -> list[int]:
+    """Numbers of the blocks that can be main text, whatever the partner: the article's, else those that are not skipped, else all."""
+    inside = [k for k, place in enumerate(places) if place & (INSIDE | SKIPPED_LINE) == INSIDE]
+    plain = [k for k, place in enumerate(places) if not place & SKIPPED_LINE]
+    return inside or plain or list(range(len(places)))
+
+
+def kept(places: list[int], marks: list[int], other: list[int] | None) -> list[bool]:
+    """Which of the candidates are the page's main text: those not shared with the partner, whose marks are ``other``.
+
+    Menus, adverts, comments and the like never count, unless a page without article consists of nothing else (as one whose
+    whole content stands in a form).
+    """
+    chosen = candidates(places)
+    shared = shared_lines(marks, other) if other else [False] * len(marks)
+    if any(places[k] & (INSIDE | SKIPPED_LINE) == INSIDE for k in chosen):
+        outside = {mark for mark, place in zip(marks, places, strict=True) if not place & INSIDE}
+        return [not (shared[k] and marks[k] in outside) for k in chosen]
+    if not other and all(place & SKIPPED_LINE for place in places):
+        return [False] * len(chosen)
+    return [not shared[k] for k in chosen]
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
-            rows = [page_blocks(h) for h in part.column(3).to_pylist()]
+            marks = [line_marks([line for line, _ in page_blocks(h)]) for h in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.list_(pa.int64()))], ["url", "marks"])
+
+
+def _body_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and marks of all blocks, and the candidates' text, compressed for its way to the partner's marks."""
+    pack = zstandard.ZstdCompressor()
+    for batch in batches:
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            rows = [page_blocks(h) for h in part.column(2).to_pylist()]
+            places = [[place for _, place in r] for r in rows]
+            bodies = [
+                pack.compress("\n".join(r[k][0] for k in candidates(p)).encode()) for r, p in zip(rows, places, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1), part.column(2),
-                    pa.array([[line for line, _ in r] for r in rows], pa.list_(pa.string())),
-                    pa.array([[place for _, place in r] for r in rows], pa.list_(pa.int8())),
+                    part.column(0), part.column(1), pa.array(bodies, pa.binary()), pa.array(places, pa.list_(pa.int8())),
                     pa.array([line_marks([line for line, _ in r]) for r in rows], pa.list_(pa.int64())),
                 ],
-                ["row", "page_id", "url", "lines", "places", "marks"],
+                ["page_id", "url", "body", "places", "marks"],
             )
 
 
-def kept_lines(lines: list[str], places: list[int], other: list[int] | None) -> list[str]:
-    """The page's main text: its lines without those shared with the partner, whose marks are ``other``.
-
-    Menus, adverts, comments and the like never count, unless a page without article consists of nothing else (as one whose
-    whole content stands in a form).
-    """
-    shared = shared_lines(line_marks(lines), other) if other else [False] * len(lines)
-    if any(place & (INSIDE | SKIPPED_LINE) == INSIDE for place in places):
-        outside = {line for line, place in zip(lines, places, strict=True) if not place & INSIDE}
-        return [
-            line for line, place, cut in zip(lines, places, shared, strict=True)
-            if place & (INSIDE | SKIPPED_LINE) == INSIDE and not (cut and line in outside)
-        ]
-    wanted = [not place & SKIPPED_LINE for place in places]
-    if other and not any(wanted):
-        wanted = [True] * len(lines)
-    return [line for line, want, cut in zip(lines, wanted, shared, strict=True) if want and not cut]
-
-
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts = ["\n".join(kept_lines(*row)) for row in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)]
+        texts = []
+        for body, *seen in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4, 5)], strict=True):
+            want = kept(*seen)
+            texts.append("\n".join(compress(unpack.decompress(body).decode().split("\n"), want)) if any(want) else "")
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
@@ -220,6 +242,10 @@ def _path(url: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), "/")
 
 
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
 def _common(x: Column, y: Column) -> Column:
     """Leading path segments that two paths share."""
     n = F.least(F.size(x), F.size(y))
@@ -227,19 +253,26 @@ def _common(x: Column, y: Column) -> Column:
     return F.coalesce(F.get(differ, F.lit(0)) - 1, n)
 
 
+def _entry(url: Column, marks: Column) -> Column:
+    """Key of (host, path, content): copies at one path share it. Null without a host."""
+    return F.when(_host(url) != "", F.md5(F.concat_ws("\n", _host(url), F.array_join(_path(url), "/"), F.xxhash64(marks).cast("string"))))
+
+
 def _partners(light: DataFrame) -> DataFrame:
-    """(row, partner): the page with other content that shares most of the path, the earlier in path order if both do.
+    """(entry, other): marks of the page with other content that shares most of the path, the earlier in path order if both do.
 
     Copies at one path are one entry. Entries of a host with equal content in a row are a run, and the entries beside
     the run are the nearest with other content for all of it.
     """
-    pages = ["host", "path", "digest"]
-    entries = cut_lineage(light.groupBy(*pages).agg(F.min("row").alias("first")))
-    payload = {"path": F.col("path"), "digest": F.col("digest"), "first": F.col("first")}
-    near = with_neighbours(entries, ["host"], ["path", "first"], payload, 1)
+    entries = cut_lineage(
+        light.groupBy("entry").agg(F.first("url").alias("url"), F.first("marks").alias("marks"))
+        .select("entry", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), F.xxhash64("marks").alias("digest"), "marks")
+    )
+    payload = {"path": F.col("path"), "digest": F.col("digest"), "entry": F.col("entry")}
+    near = with_neighbours(entries.drop("marks"), ["host"], ["path", "entry"], payload, 1)
     other = [F.when(F.get("slots", F.lit(k))["digest"] != F.col("digest"), F.get("slots", F.lit(k))) for k in (0, 2)]
-    edged = near.select("host", "path", "digest", "first", other[0].alias("before"), other[1].alias("after"))
-    runs = ordered_prefix(edged, ["host"], ["path", "first"], totals={"run": F.col("before").isNotNull().cast("long")})
+    edged = near.select("host", "path", "entry", other[0].alias("before"), other[1].alias("after"))
+    runs = ordered_prefix(edged, ["host"], ["path", "entry"], totals={"run": F.col("before").isNotNull().cast("long")})
     beside = runs.groupBy("host", "run").agg(
         F.first("before", ignorenulls=True).alias("before"), F.first("after", ignorenulls=True).alias("after")
     )
@@ -247,9 +280,10 @@ def _partners(light: DataFrame) -> DataFrame:
     back, on = (
         F.when(F.col(c).isNull(), -1).otherwise(_common(F.col(c)["path"], F.col("path"))) for c in ("before", "after")
     )
-    chosen = joined.select(*pages, F.when(back >= on, F.col("before")["first"]).otherwise(F.col("after")["first"]).alias("partner"))
-    found = chosen.where("partner is not null")
-    return hot_split_join(light, found, pages, "inner").select("row", "partner")
+    chosen = joined.select("entry", F.when(back >= on, F.col("before")["entry"]).otherwise(F.col("after")["entry"]).alias("partner"))
+    found = cut_lineage(chosen.where("partner is not null"))
+    others = entries.select(F.col("entry").alias("partner"), F.col("marks").alias("other"))
+    return hot_split_join(found, others, "partner", "inner").select("entry", "other")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -258,28 +292,22 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     A null page is empty. A page without a URL, or alone on its host, or among copies of itself only, has no partner
     and keeps what its markup allows. Ties between partners go to the earlier one in path order.
     Repeated rows are pages of their own; other columns are ignored.
+
+    Pages are parsed twice: first for the hashes of their blocks, by which partners are found, then for their text, which
+    travels once, compressed, and is never stored.
     """
     named = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("page_id"),
-        F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"),
-    )
-    lined = cut_lineage(
-        named.mapInArrow(
-            _line_rows,
-            "row long, page_id long, url string, lines array<string>, places array<byte>, marks array<long>",
-        )
-    )
-    light = cut_lineage(
-        lined.select(
-            "row", F.xxhash64("marks").alias("digest"),
-            F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), _path(F.col("url")).alias("path"),
-        ).where("host <> ''")
+        F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")
     )
+    hashed = named.select("url", "html").mapInArrow(_mark_rows, "url string, marks array<long>")
+    light = cut_lineage(hashed.select(_entry(F.col("url"), F.col("marks")).alias("entry"), "url", "marks").where("entry is not null"))
     partners = cut_lineage(_partners(light))
-    others = lined.select(F.col("row").alias("partner"), F.col("marks").alias("other"))
-    paired = hot_split_join(partners, others, "partner", "inner").select("row", "other")
-    joined = lined.drop("marks").join(paired, "row", "left")
-    out = joined.select("page_id", "url", "lines", "places", "other").mapInArrow(
+    bodies = named.mapInArrow(_body_rows, "page_id long, url string, body binary, places array<byte>, marks array<long>")
+    # pages without a host have no partner; numbers as keys spread them
+    spread = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    keyed = bodies.withColumn("entry", F.coalesce(_entry(F.col("url"), F.col("marks")), spread, F.lit("-")))
+    joined = hot_split_join(keyed, partners, "entry", "left", hot_from=light)
+    out = joined.select("page_id", "url", "body", "places", "marks", "other").mapInArrow(
         _text_rows, "page_id long, url string, text string, n_chars long"
     )
     return out.withColumnsRenamed({"page_id": key, "url": url}) if (key, url) != ("page_id", "url") else out
