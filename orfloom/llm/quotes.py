@@ -20,7 +20,9 @@ from orfloom.session import cut_lineage
 
 MARKS = r"^(?:[\x20\x09-\x0D]*>)+"
 WHITE = r"[\x20\x09-\x0D]+"
+QUOTES = r"(?m)^[\x20\x09-\x0D]*>"
 RUN = 5
+SMALL = 1_000_000  # conversation ids, 8 bytes each, in one broadcast
 
 
 def _normal(line: Column) -> Column:
@@ -77,15 +79,22 @@ def _within(part: Column, whole: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(F.lit(" "), part, F.lit(" ")))
 
 
+def _of_conversations(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """The messages of conversations with such a quote; the ids are broadcast if there are at most ``SMALL``."""
+    ids = quoted.select("conv_id").distinct()
+    return messages.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "conv_id", "left_semi")
+
+
 def _first_writers(own: DataFrame, asked: DataFrame) -> DataFrame:
     """(conv_id, text, origin) of the long quoted passages that some message wrote, with the first that did.
 
     Both sides are distinct texts of a conversation, so copies meet once. The pairs compared are those of a quote and the
     own passages that hold the quote's rarest run.
     """
-    own = cut_lineage(own.groupBy("conv_id", "text").agg(F.min("turn").alias("first"), F.first("n_words").alias("n_words")))
-    own = own.withColumn("own", F.md5("text"))
-    asked = cut_lineage(asked.select("conv_id", "text").distinct()).withColumn("ask", F.md5("text"))
+    # numbers of written rows are fixed, and shorter than digests on every run
+    texts = own.groupBy("conv_id", "text").agg(F.min("turn").alias("first"))
+    own = cut_lineage(texts.withColumn("own", F.monotonically_increasing_id()))
+    asked = cut_lineage(asked.select("conv_id", "text").distinct().withColumn("ask", F.monotonically_increasing_id()))
     wanted = cut_lineage(
         asked.select("conv_id", "ask", _runs(F.split("text", " ")).alias("runs"))
         .select("conv_id", "ask", F.size("runs").alias("n_runs"), F.explode("runs").alias("run"))
@@ -167,20 +176,19 @@ def link_quotes(
     rows = named.withColumn("lines", _lines(F.col("text")))
     keyed = rows.where("conv_id is not null and turn is not null")
     message = ["conv_id", "turn"]
-    units = keyed.select(*message, F.explode(_passages(F.col("lines"))).alias("p")).select(*message, "p.level", "p.text")
-    units = cut_lineage(units.distinct().withColumn("n_words", F.size(F.split("text", " "))))
-    quoted, own = units.where("level > 0"), units.where("level = 0")
-    alone = F.filter("lines", lambda l: (l["level"] == 0) & (l["line"] != ""))
-    single = (
-        keyed.select(*message, F.explode(F.transform(alone, lambda l: l["line"])).alias("text"))
-        .where(F.size(F.split("text", " ")) < RUN)
-    )
-    long, short = F.col("n_words") >= RUN, F.col("n_words") < RUN
-    first = quoted.where(long).join(_first_writers(own.where(long), quoted.where(long)), ["conv_id", "text"])
-    latest = quoted.where(short).join(
-        _latest_writers(own.where(short).select(*message, "text").unionByName(single), quoted.where(short)),
-        ["conv_id", "text", "turn"],
+    words = F.size(F.split("text", " "))
+    passages = keyed.where(F.col("text").rlike(QUOTES)).select(*message, F.explode(_passages(F.col("lines"))).alias("p"))
+    quoted = cut_lineage(
+        passages.where("p.level > 0").select(*message, "p.level", "p.text").distinct().withColumn("n_words", words)
     )
+    long, short = quoted.where(F.col("n_words") >= RUN), quoted.where(F.col("n_words") < RUN)
+    own = _passages(F.col("lines"))
+    own = F.transform(F.filter(own, lambda p: p["level"] == 0), lambda p: p["text"])
+    single = F.transform(F.filter("lines", lambda l: (l["level"] == 0) & (l["line"] != "")), lambda l: l["line"])
+    wrote = _of_conversations(keyed, long).select(*message, F.explode(own).alias("text")).where(words >= RUN)
+    brief = _of_conversations(keyed, short).select(*message, F.explode(F.concat(own, single)).alias("text")).where(words < RUN)
+    first = long.join(_first_writers(wrote, long), ["conv_id", "text"])
+    latest = short.join(_latest_writers(brief, short), ["conv_id", "text", "turn"])
     found = first.unionByName(latest).where("origin < turn")
     top = F.col("level") == 1
     answers = cut_lineage(
@@ -200,7 +208,7 @@ def link_quotes(
     raw = F.transform(F.filter("lines", lambda l: l["level"] == 0), lambda l: l["raw"])
     out = rows.select(
         *message, "role",
-        F.regexp_replace(F.array_join(raw, "\n"), rf"^{WHITE}|{WHITE}$", "").alias("own_text"),
+        F.regexp_replace(F.array_join(raw, "\n"), rf"^{WHITE}|{WHITE}\z", "").alias("own_text"),
         F.size(F.filter("lines", lambda l: l["level"] > 0)).cast("long").alias("n_quoted_lines"),
         F.aggregate("lines", F.lit(0), lambda a, l: F.greatest(a, l["level"])).cast("long").alias("max_level"),
     ).join(placed, message, "left")
@@ -257,7 +265,7 @@ threaded AS (
   LEFT JOIN answers a ON a.conv_id = m.conv_id AND a.turn = m.turn LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, depth, turn) - 1 AS place FROM threaded),
 own AS (
-  SELECT id, regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own_text,
+  SELECT id, regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z', '', 'g') AS own_text,
     count(*) FILTER (level > 0) AS n_quoted_lines, max(level) AS max_level FROM l GROUP BY id)
 SELECT r.conv_id, r.turn, r.role, own_text, n_quoted_lines, CAST(max_level AS BIGINT) AS max_level,
   CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to, coalesce(thread, r.turn) AS thread,
