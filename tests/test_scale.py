@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orfloom.operators import clusters, context, evaluation, review, sampling, splits
 from orfloom.operators.ordering import hash_position, ordered_prefix, permuted, with_neighbours
-from orfloom.operators.skew import checked_small, hot_split_join, lookup_join, small_values
+from orfloom.operators.skew import checked_small, hot_split_join, lookup_join, pairs_join, small_values
 
 
 def rows_of(df):
@@ -339,3 +339,15 @@ def test_nearest_mean_in_any_number_of_rounds(spark, means_bytes):
         want = min((sum((x - y) ** 2 for x, y in zip(r.vec, m)) ** 0.5, c) for c, m in means.items())
         assert r.nearest == want[1] and r.distance == pytest.approx(want[0]) and r.abstain == (want[0] > 1.0)
     assert evaluation.prototype_distance(table.limit(0), "label", "vec").count() == 0
+
+
+def test_pairs_join_deals_the_pairs_of_a_key(spark):
+    left = spark.range(300).select(F.when(F.col("id") % 40 == 1, F.lit(None)).otherwise(F.col("id") % 3).alias("k"), F.col("id").alias("x"))
+    right = spark.range(500).select((F.col("id") % 4).alias("k"), F.floor(F.col("id") / 2).alias("y"))
+    plain = rows_of(left.join(right, "k"))
+    assert rows_of(pairs_join(left, right, "k")) == plain
+    dealt = pairs_join(left, right, "k", block_rows=16, pairs_per_task=1_000)
+    assert rows_of(dealt) == plain
+    sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert len(sizes) > 20 and max(sizes) < len(plain) / 8  # three keys, many tasks
+    assert pairs_join(left.limit(0), right, "k").count() == 0
