@@ -10,6 +10,7 @@ from orfloom.operators.ablation import stability
 from orfloom.operators.labels import build_vocab
 from orfloom.operators.packs import row_index
 from orfloom.operators.quality import duplicate_keys
+from orfloom.operators.skew import hot_split_join
 from orfloom.plans.joins import (
     ASSET_SQL, GAP_SQL, HITS_SQL, RUNS_SQL, TWO_LEVEL_SQL, hit_inputs, matched_assets, run_deltas, two_level,
 )
@@ -335,6 +336,6 @@ def _(spark, sf):
 SELECT count(*) AS hit_rows, count(DISTINCT exact_sequence_rep_id) AS hit_entities, 'BFVD' AS sources, (SELECT count(*) FROM targets) AS query_rows FROM hits""")
 def _(spark, sf):
     targets, meta, index = hit_inputs(Tables(spark, sf))
-    hits = assets.lookup_hits(targets, meta, index, order="line").withColumn("source", F.lit("BFVD"))
-    log = assets.query_log(targets, assets.hit_matches(targets, meta, "line"), "BFVD")
-    return assets.screen_summary(hits, log)
+    hits = hot_split_join(targets, assets.hit_counts(meta, index, "line"), "query_id", "inner").withColumn("source", F.lit("BFVD"))
+    log = assets.query_log(targets, assets.matched_ids(meta), "BFVD")
+    return assets.screen_summary(hits, log, "n")

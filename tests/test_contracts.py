@@ -213,3 +213,20 @@ def test_manifest_finds_planted_violations(spark):
     assert shares == {"a": (1, 0.25), "z": (0, 0.0)}
     report = {r.column: (r.present, r.filled) for r in quality.column_report(left, ["k", "v", "w"]).collect()}
     assert report == {"k": (True, 3), "v": (True, 4), "w": (False, 0)}
+
+
+def test_hit_summary_and_log_without_pairs(spark):
+    meta = spark.createDataFrame(
+        [("A", "m1", 1.0, 1), ("B", "m1", 2.0, 2), ("m1", "m2", 3.0, 3), ("A", "m1", 1.0, 4), (None, "m3", 1.0, 5)],
+        "accession string, model_id string, confidence_score double, line int",
+    )
+    rows = [("r1", "m1"), ("r2", "A"), ("r2", "A"), ("r3", "zz"), ("r4", None), ("r5", "m2"), ("r6", "m3")]
+    targets = spark.createDataFrame(rows, "exact_sequence_rep_id string, query_id string")
+    index = spark.createDataFrame([("m1", 0, 5), ("m1", 9, 5), ("m3", 1, 1)], schemas.HIT_INDEX)
+    hits = assets.lookup_hits(targets, meta, index, "line").withColumn("source", F.lit("BFVD"))
+    log = assets.query_log(targets, assets.hit_matches(targets, meta, "line"), "BFVD")
+    slim = targets.join(assets.hit_counts(meta, index, "line"), "query_id").withColumn("source", F.lit("BFVD"))
+    slim_log = assets.query_log(targets, assets.matched_ids(meta), "BFVD")
+    assert slim.count() < hits.count()
+    assert assets.screen_summary(slim, slim_log, "n").collect() == assets.screen_summary(hits, log).collect()
+    assert sorted(map(str, slim_log.collect())) == sorted(map(str, log.collect()))
