@@ -288,7 +288,7 @@ def _(spark, sf):
 SELECT *, 'BFVD' AS source, CASE WHEN query_id IN (SELECT query_id FROM matches) THEN 'hit' ELSE 'miss' END AS status FROM targets""")
 def _(spark, sf):
     targets, meta, _ = hit_inputs(Tables(spark, sf))
-    return assets.query_log(targets, assets.hit_matches(targets, meta, "line"), "BFVD")
+    return assets.query_log(targets, assets.matched_ids(meta), "BFVD")
 
 
 # line items as runs: the return flag is the variant, the line number the seed
