@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Logit of an absent modality and floor of probabilities.
 MASKED_LOGIT = -1e4
@@ -94,9 +96,13 @@ def modality_mask(*cols: Column) -> Column:
 
 
 def topk(v: Column, k: int) -> Column:
-    """The k largest entries as array<struct<score,idx>>, equal scores in index order."""
-    pairs = F.transform(v, lambda x, i: F.struct((-x.cast("double")).alias("neg"), i.cast("int").alias("idx")))
-    best = F.slice(F.sort_array(pairs), 1, k)
+    """The k largest entries as array<struct<score,idx>>, equal scores in index order; NaN is the largest, null comes last."""
+
+    def entry(x: Column, i: Column) -> Column:
+        score = x.cast("double")
+        return F.struct(score.isNull().alias("none"), (~F.isnan(score)).alias("usual"), (-score).alias("neg"), i.cast("int").alias("idx"))
+
+    best = F.slice(F.sort_array(F.transform(v, entry)), 1, k)
     return F.transform(best, lambda p: F.struct((-p["neg"]).alias("score"), p["idx"].alias("idx")))
 
 
@@ -105,7 +111,14 @@ def topk_indices(best: Column) -> Column:
 
 
 def topk_scores(best: Column) -> Column:
-    return F.array_join(F.transform(best, lambda p: F.format_string("%.6f", p["score"])), ",")
+    """The scores with six decimals, rounded as C and Python do: by the exact binary value, ties to even."""
+    return _six_decimals(F.filter(F.transform(best, lambda p: p["score"]), lambda x: x.isNotNull()))
+
+
+@F.pandas_udf(T.StringType())
+def _six_decimals(scores: pd.Series) -> pd.Series:
+    # the printf of the JVM rounds the shortest decimal form half up: 2 ** -7 would become 0.007813
+    return scores.map(lambda xs: None if xs is None else ",".join(["%.6f" % x for x in xs]))
 
 
 def clip_prob(p: Column) -> Column:
