@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orfloom import schemas
 from orfloom.operators.labels import build_vocab
-from orfloom.operators.evaluation import accuracy, class_totals, confusion_cells
+from orfloom.operators.evaluation import accuracy, class_totals, confusion
 from orfloom.operators.rollups import stats_report, value_counts
 from orfloom.operators.vectors import embedding_index
 from orfloom.plans.registry import (
@@ -201,19 +201,19 @@ def _(spark, sf):
     return io.read_parquet(spark, path)
 
 
-@query("S19_eval_exports", f"""WITH {PRED_SQL}
+@query("S19_eval_exports", f"""WITH {PRED_SQL}, classes AS (SELECT target_l2 AS k FROM preds UNION SELECT pred_l2 FROM preds)
 SELECT 'metrics' AS export, NULL::INTEGER AS target, NULL::INTEGER AS pred, NULL::BIGINT AS n,
   round(avg(CASE WHEN target_l3 = pred_l3 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds
-UNION ALL SELECT 'confusion', target_l2, pred_l2, count(*), NULL FROM preds GROUP BY 1, 2, 3
+UNION ALL SELECT 'confusion', a.k, b.k, count(p.row_id), NULL FROM classes a CROSS JOIN classes b LEFT JOIN preds p ON p.target_l2 = a.k AND p.pred_l2 = b.k GROUP BY 1, 2, 3
 UNION ALL SELECT 'classes', k, NULL, CAST(sum(n) AS BIGINT), NULL FROM (SELECT target_l2 AS k, 1 AS n FROM preds UNION ALL SELECT pred_l2, 0 FROM preds) GROUP BY k""")
 def _(spark, sf):
     root = scratch_dir(spark, "eval")
     preds = predictions(Tables(spark, sf))
     metrics = accuracy(preds, {"l3": ("target_l3", "pred_l3")}).select(F.round("l3_accuracy", 6).alias("accuracy"))
-    cells = confusion_cells(preds, "target_l2", "pred_l2").select("target", "pred", "n")
-    classes = class_totals(cells).select(F.col("class").alias("target"), F.col("as_target").alias("n"))
-    io.write_eval(root, {"predictions": preds, "metrics": metrics, "confusion": cells, "classes": classes})
-    tables = {"metrics": metrics, "confusion": cells, "classes": classes}
+    matrix = confusion(preds, "target_l2", "pred_l2")
+    classes = class_totals(matrix).select(F.col("class").alias("target"), F.col("as_target").alias("n"))
+    io.write_eval(root, {"predictions": preds, "metrics": metrics, "confusion": matrix, "classes": classes})
+    tables = {"metrics": metrics, "confusion": matrix, "classes": classes}
     parts = [io.read_table(spark, f"{root}/{n}", t.schema, ",").withColumn("export", F.lit(n)) for n, t in tables.items()]
     joined = parts[1].unionByName(parts[0], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return joined.select("export", "target", "pred", "n", "accuracy")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from orfloom import plans
 from orfloom import schemas
 from orfloom.operators import assets, clusters, evaluation, labels, packs, quality, rollups, vectors
 from orfloom.operators.ablation import ablation_report
@@ -230,3 +231,11 @@ def test_hit_summary_and_log_without_pairs(spark):
     assert slim.count() < hits.count()
     assert assets.screen_summary(slim, slim_log, "n").collect() == assets.screen_summary(hits, log).collect()
     assert sorted(map(str, slim_log.collect())) == sorted(map(str, log.collect()))
+
+
+def test_eval_exports_hold_the_whole_matrix(spark):
+    plans.load()
+    rows = plans.QUERIES["S19_eval_exports"](spark, "/root/testdata/sf0.001").collect()
+    classes = {r.target for r in rows if r.export == "classes"}
+    cells = {(r.target, r.pred): r.n for r in rows if r.export == "confusion"}
+    assert set(cells) == {(a, b) for a in classes for b in classes} and 0 in cells.values()
