@@ -4,6 +4,9 @@ import random
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -351,3 +354,35 @@ def test_pairs_join_deals_the_pairs_of_a_key(spark):
     sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
     assert len(sizes) > 20 and max(sizes) < len(plain) / 8  # three keys, many tasks
     assert pairs_join(left.limit(0), right, "k").count() == 0
+
+
+def test_a_piece_travels_once_in_a_few_bytes():
+    from orfloom.operators import kmers
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh", k=3_000)) for _ in range(300)]
+    texts[1] = texts[0][:2_000] + texts[1][2_000:]
+    batch = pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], names=["num", "text"])
+    none = np.zeros(0, np.uint64)
+    asked = pa.Table.from_batches(kmers._ask(12, 0.3, 4, none, none.astype(np.int64))(iter([batch])))
+    sent = sum(len(v) for c in asked.columns[1:] for v in c.to_pylist())
+    assert sent < 5 * 300 * 2_989
+    met = [kmers._answer(4)(asked.filter(pc.equal(asked["shard"], s))) for s in range(4)]
+    homes = pa.concat_tables(met)
+    rows = [kmers._prefix(0.3)(homes.filter(pc.equal(homes["home"], h))) for h in range(4)]
+    found = pa.concat_tables(rows).to_pydict()
+    both = [k for k in set(found["kmer"]) if {n for n, x in zip(found["num"], found["kmer"]) if x == k} >= {0, 1}]
+    need = found["need"][0]
+    assert need > 100 and len(both) >= need
+
+
+def test_keys_equal_within_a_text_lower_its_bounds(monkeypatch):
+    from orfloom.operators import kmers
+
+    monkeypatch.setattr(kmers, "KEY_BITS", 24)
+    rng = random.Random(6)
+    batch = pa.record_batch([pa.array([7]), pa.array(["".join(rng.choices("abcdefgh", k=60_000))])], names=["num", "text"])
+    ((_, _, n, _, keys),) = kmers._sets_of(iter([batch]), 12, 0.3)
+    hidden = len(kmers.piece_sets(batch.column(1).to_pylist(), 12)[1]) - len(keys)
+    least = (hidden + len(keys)) * 0.3 - hidden  # keys that a linked text shares at least
+    assert hidden > 0 and least - 0.6 < n[0] * 0.3 <= least + 1e-9
