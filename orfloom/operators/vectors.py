@@ -16,7 +16,7 @@ from orfloom.functions import (
 )
 from orfloom.operators.ordering import ordered_prefix
 from orfloom.operators.quality import require_covered
-from orfloom.operators.skew import hot_split_join
+from orfloom.operators.skew import hot_split_join, lookup_join
 from orfloom.session import cut_lineage
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -85,19 +85,27 @@ def embedding_index(emb: DataFrame, key: str, length: str, shard_rows: int = 20_
     return sharded.withColumn("shard_name", F.format_string("shard_%05d", "shard_no"))
 
 
-def write_shards(vectors: DataFrame, path: str) -> None:
-    """Store sharded vectors, a file for each shard in the order of its rows; the row numbers themselves are not stored."""
-    rows = vectors.repartition("shard_no").sortWithinPartitions("shard_no", "row_index").drop("row_index")
-    rows.write.partitionBy("shard_no").parquet(path)
+def write_shards(vectors: DataFrame, path: str, shards_per_file: int = 1) -> None:
+    """Store sharded vectors in the order of their rows; the row numbers themselves are not stored.
+
+    A file holds ``shards_per_file`` consecutive shards: one for large shards, many for small ones, whose number would else be
+    the number of files that the driver has to commit and list.
+    """
+    rows = vectors.withColumn("volume", F.floor(F.col("shard_no") / shards_per_file).cast("int"))
+    rows = rows.repartition("volume").sortWithinPartitions("volume", "shard_no", "row_index").drop("row_index")
+    rows.write.partitionBy("volume").parquet(path)
 
 
 def stored_index(spark: SparkSession, path: str) -> DataFrame:
-    """Where each vector lies in the files of ``write_shards``: the row is read from the file's own metadata, lengths and
-    flag from its columns; the vectors are not read."""
-    rows = spark.read.parquet(path)
-    return rows.select(
-        "embedding_id", F.col("shard_no").cast("int").alias("shard_no"), F.col("_metadata.row_index").cast("int").alias("row_index"),
-        F.format_string("shard_%05d", F.col("shard_no").cast("int")).alias("shard_name"), "orig_seq_len", "effective_seq_len", "truncated_flag",
+    """Where each vector lies in the shards of ``write_shards``: the row is read from the file's own metadata, counted from the
+    first one of the shard, lengths and flag from its columns; the vectors are not read."""
+    rows = spark.read.parquet(path).select(
+        "embedding_id", "shard_no", F.col("_metadata.row_index").alias("file_row"), "orig_seq_len", "effective_seq_len", "truncated_flag",
+    )
+    firsts = rows.groupBy("shard_no").agg(F.min("file_row").alias("first_row"))
+    return lookup_join(rows, firsts, "shard_no", "inner").select(
+        "embedding_id", "shard_no", (F.col("file_row") - F.col("first_row")).cast("int").alias("row_index"),
+        F.format_string("shard_%05d", F.col("shard_no")).alias("shard_name"), "orig_seq_len", "effective_seq_len", "truncated_flag",
     )
 
 
@@ -163,6 +171,8 @@ def vectorize(
         source = todo(source, done, "id")
         if "shard_no" in done.columns:
             first_shard = done.agg(F.coalesce(F.max("shard_no") + 1, F.lit(0))).first()[0]
+    # cleaned once and dealt evenly: the encoder's tasks would else be the splits of the input, of any number and size
+    source = cut_lineage(source.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
     fits = F.length("sequence") <= size
     if strategy == "truncate":
         pooled = encode_windows(source, encoder, size, overlap, strategy).select("id", "length", F.col("vec").alias("embedding"))

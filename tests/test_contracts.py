@@ -239,3 +239,28 @@ def test_eval_exports_hold_the_whole_matrix(spark):
     classes = {r.target for r in rows if r.export == "classes"}
     cells = {(r.target, r.pred): r.n for r in rows if r.export == "confusion"}
     assert set(cells) == {(a, b) for a in classes for b in classes} and 0 in cells.values()
+
+
+def test_small_shards_share_files(spark, tmp_path):
+    cols = "embedding_id long, shard_no int, row_index int, orig_seq_len int, effective_seq_len int, truncated_flag boolean, embedding array<float>"
+    places = [(s, r) for s in range(10) for r in range(1 if s == 9 else 4)]
+    rows = [(100 - i, s, r, i, i, False, [float(i)]) for i, (s, r) in enumerate(places)]
+    df = spark.createDataFrame(rows, cols).repartition(5)
+    for per_file, files in ((4, 3), (1, 10)):
+        path = f"{tmp_path}/{per_file}"
+        vectors.write_shards(df, path, per_file)
+        assert spark.read.parquet(path).select("_metadata.file_path").distinct().count() == files
+        found = {(r.embedding_id, r.shard_no, r.row_index, r.shard_name) for r in vectors.stored_index(spark, path).collect()}
+        assert found == {(r[0], r[1], r[2], f"shard_{r[1]:05d}") for r in rows}
+
+
+def test_texts_are_dealt_to_the_encoder(spark):
+    def where(batches):
+        from pyspark import TaskContext
+
+        for batch in batches:
+            yield batch.drop(columns=["text"]).assign(vec=[[1.0 + TaskContext.get().partitionId()]] * len(batch))
+
+    docs = spark.range(400).select("id", F.concat(F.lit("ACDEFG"), "id", F.repeat(F.md5(F.col("id").cast("string")), 600)).alias("s"))
+    out = vectors.vectorize(docs.coalesce(1), "id", "s", where, strategy="truncate")
+    assert out.select("embedding").distinct().count() > 1
