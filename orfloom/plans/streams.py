@@ -44,6 +44,14 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+def _feed_firsts(spark, root, chunks, keys, time, delay, order):
+    """Each chunk arrives as all the files its tasks write, and a run takes them as one batch; the next run goes on from its state."""
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(f"{root}/in")
+        stream = read_files(spark, f"{root}/in", chunk.schema)
+        run_first_by_time(first_by_time(stream, keys, time, delay, order), f"{root}/out", f"{root}/state")
+
+
 # events arrive in weekly-sized batches; every 7th comes one batch late, every 11th two; the watermark of a batch is three
 # days behind the newest event of the earlier ones
 @query("R01_stream_first_by_time", """
@@ -64,16 +72,12 @@ def _(spark, sf):
         (F.floor(day / 8) + wait).alias("batch"),
     )
     batches = sorted(r[0] for r in events.select("batch").distinct().collect())
-    for batch in batches:  # one file a batch, in this order
-        events.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{root}/in")
     beat = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).select(
         F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), "ts",
         F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"),
     )
-    beat.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = read_files(spark, f"{root}/in", beat.schema, files_per_batch=1)
-    firsts = first_by_time(stream, ["user_id", "event_type"], "ts", "3 days", ["event_id"])
-    run_first_by_time(firsts, f"{root}/out", f"{root}/state")
+    chunks = [events.where(F.col("batch") == batch).drop("batch") for batch in batches]
+    _feed_firsts(spark, root, [*chunks, beat], ["user_id", "event_type"], "ts", "3 days", ["event_id"])
     return read_firsts(spark, f"{root}/out").select("user_id", "event_type", "event_id", "value", "late")
 
 
@@ -86,13 +90,9 @@ def _(spark, sf):
         F.md5("text").alias("digest"), "doc_id", "source", F.timestamp_seconds("doc_id").alias("read_at")
     )
     top = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
-    for chunk in range(3):
-        part = docs.where((F.col("doc_id") >= top * chunk // 3) & (F.col("doc_id") < top * (chunk + 1) // 3))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    chunks = [docs.where((F.col("doc_id") >= top * c // 3) & (F.col("doc_id") < top * (c + 1) // 3)) for c in range(3)]
     beat = spark.createDataFrame([(None, None, None, top + 10)], "digest string, doc_id long, source string, s long").select(
         "digest", "doc_id", "source", F.timestamp_seconds("s").alias("read_at")
     )
-    beat.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = read_files(spark, f"{root}/in", docs.schema, files_per_batch=1)
-    run_first_by_time(first_by_time(stream, ["digest"], "read_at", "0 seconds", ["doc_id"]), f"{root}/out", f"{root}/state")
+    _feed_firsts(spark, root, [*chunks, beat], ["digest"], "read_at", "0 seconds", ["doc_id"])
     return read_firsts(spark, f"{root}/out").where("not late").select("digest", "doc_id", "source")
