@@ -54,3 +54,15 @@ def test_forgotten_keys_count_as_new(spark):
         add(spark, root, rows)
     first, late = run(spark, root, "2 hours")
     assert first == [("a", 1), ("a", 5), ("z", 2)] and late == []
+
+
+def test_a_chunk_of_several_files_is_one_batch(spark):
+    from orfloom.plans.streams import _feed_firsts
+
+    root = scratch_dir(spark, "feed-test")
+    chunks = [[("a", 50, 1), ("b", 60, 2), ("a", 40, 3), ("c", 90, 4)], [("a", 10, 5), ("c", 80, 6), ("d", 95, 7)], [("z", 900, 9)]]
+    frames = [spark.createDataFrame([(k, at(m), v, "") for k, m, v in c], SCHEMA).repartition(3, "v") for c in chunks]
+    _feed_firsts(spark, root, frames, ["k"], "ts", "30 minutes", ["v"])
+    assert spark.read.parquet(f"{root}/in").select("_metadata.file_path").distinct().count() > len(chunks)
+    found = {(r.k, r.v, r.late) for r in read_firsts(spark, f"{root}/out").collect()}
+    assert found == {("a", 3, False), ("b", 2, False), ("c", 6, False), ("d", 7, False), ("a", 5, True)}
