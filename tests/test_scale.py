@@ -386,3 +386,79 @@ def test_keys_equal_within_a_text_lower_its_bounds(monkeypatch):
     hidden = len(kmers.piece_sets(batch.column(1).to_pylist(), 12)[1]) - len(keys)
     least = (hidden + len(keys)) * 0.3 - hidden  # keys that a linked text shares at least
     assert hidden > 0 and least - 0.6 < n[0] * 0.3 <= least + 1e-9
+
+
+def shares_of(texts, k):
+    """Brute force: the share of common pieces of all pairs of fitting lengths."""
+    sets = [{t[i : i + k] for i in range(max(len(t) - k, 0) + 1)} for t in texts]
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                yield i, j, len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j]))
+
+
+@pytest.mark.parametrize("ids", ["whole", "text"])
+def test_links_by_turns_groups_and_chunks_against_brute_force(spark, monkeypatch, ids):
+    """Words from a small vocabulary, so that most pieces are shared: every bound is met by pairs near 0.3."""
+    from orfloom.operators import postings
+
+    for name, value in (("ONE_TURN_PIECES", 0), ("TURNS", 3), ("GROUP_ROWS", 300), ("CHUNK_PAIRS", 50), ("SMALL_BYTES", 40)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+
+    def text(n):
+        return " ".join(rng.choices(words, k=n))
+
+    base = [text(rng.randrange(20, 60)) for _ in range(30)]
+    texts = base + [t[: len(t) * part // 10] + text(60)[: len(t) * (10 - part) // 10] for t in base for part in (3, 4, 5, 8)]
+    texts = list(dict.fromkeys(texts + [t + "!" for t in base[:12]] + ["ab", "abc"]))
+    want = {(i, j): round(s, 9) for i, j, s in shares_of(texts, 6) if s >= 0.3}
+    assert sum(s < 0.4 for s in want.values()) > 10
+    name = (lambda i: i) if ids == "whole" else (lambda i: f"t{i:04d}")
+    docs = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], f"id {'int' if ids == 'whole' else 'string'}, s string")
+    found = clusters.near_duplicate_edges(docs, "id", "s", 6, block_rows=4).collect()
+    assert {(r.rep, r.member): round(r.similarity, 9) for r in found} == {(name(i), name(j)): s for (i, j), s in want.items()}
+    if ids == "text":
+        least = list(range(len(texts)))
+        for _ in texts:
+            for i, j in want:
+                least[i] = least[j] = min(least[i], least[j])
+        members = clusters.near_dup_cluster(docs, "id", "s", k=6, block_rows=4).collect()
+        assert {r.member: r.rep for r in members} == {name(i): name(x) for i, x in enumerate(least)}
+
+
+def test_near_duplicates_leave_less_on_disk_than_the_texts(spark, monkeypatch, tmp_path):
+    """Shuffles of pieces go when their turn ends, and only the lists of shared rare pieces stay."""
+    import time
+    from pathlib import Path
+
+    from orfloom import session
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=3_000)) for _ in range(700)]
+    texts[1] = texts[0][:2_000] + texts[1][2_000:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(8)
+    monkeypatch.setattr(session, "checkpoint_root", lambda s: str(tmp_path))
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def used():
+        return sum(f.stat().st_size for top in (*local, tmp_path) for f in Path(top).rglob("*") if f.is_file() and "broadcast" not in f.name)
+
+    before = used()
+    links = clusters.near_duplicate_edges(docs, "id", "s")
+    assert [(r.rep, r.member) for r in links.collect()] == [(0, 1)]
+    for _ in range(50):  # Spark removes the files in the background
+        if (left := used() - before) < 2_100_000:
+            break
+        time.sleep(0.2)
+    assert left < 2_100_000
+
+
+def test_distinct_texts_keeps_the_first_row_of_each_text(spark, monkeypatch):
+    rows = [(5, "a"), (3, "a"), (4, None), (9, "b"), (2, ""), (7, ""), (8, "c"), (1, "c")]
+    docs = spark.createDataFrame(rows, "id long, s string")
+    want = [(1, "c"), (2, ""), (3, "a"), (9, "b")]
+    assert sorted(map(tuple, clusters.distinct_texts(docs, "id", "s").collect())) == want
+    monkeypatch.setattr(clusters, "SMALL_BYTES", 24)
+    assert sorted(map(tuple, clusters.distinct_texts(docs, "id", "s").collect())) == want
