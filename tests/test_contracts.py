@@ -264,3 +264,18 @@ def test_texts_are_dealt_to_the_encoder(spark):
     docs = spark.range(400).select("id", F.concat(F.lit("ACDEFG"), "id", F.repeat(F.md5(F.col("id").cast("string")), 600)).alias("s"))
     out = vectors.vectorize(docs.coalesce(1), "id", "s", where, strategy="truncate")
     assert out.select("embedding").distinct().count() > 1
+
+
+def test_ranges_are_looked_up_before_the_pairs_are_made(spark, monkeypatch):
+    """Rows without a range make no pair, and a pair needs no lookup of its own."""
+    made = []
+    real = assets.pairs_join
+    monkeypatch.setattr(assets, "pairs_join", lambda left, right, on: made.append(right) or real(left, right, on))
+    targets = spark.createDataFrame([(i, "A1") for i in range(50)] + [(99, None), (50, "M3")], "exact_sequence_rep_id int, query_id string")
+    meta = spark.createDataFrame([("A1", f"M{i}", float(i), i) for i in range(40)], "accession string, model_id string, confidence_score double, line int")
+    index = spark.createDataFrame([("M3", 30, 3), ("M7", 70, 7), ("M7", 71, 7)], "model_id string, range_offset int, range_length int")
+    hits = assets.lookup_hits(targets, meta, index, "line")
+    assert [r.count() for r in made] == [3] and "range_offset" in made[0].columns
+    got = {(r.exact_sequence_rep_id, r.query_id, r.model_id, r.confidence_score, r.range_offset) for r in hits.collect()}
+    ranges = [("M3", 3.0, 30), ("M7", 7.0, 70), ("M7", 7.0, 71)]
+    assert got == {(i, "A1", *r) for i in range(50) for r in ranges} | {(50, "M3", "M3", 3.0, 30)} and hits.count() == 151
